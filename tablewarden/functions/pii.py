@@ -1,4 +1,4 @@
-"""Personal-data rules as Column expressions (JVM side, no UDF)."""
+"""Personal-data rules as Spark expressions (JVM side, no UDF)."""
 
 from __future__ import annotations
 
@@ -37,82 +37,83 @@ def is_textual(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.StringType, T.VarcharType, T.CharType))
 
 
-def digits_of(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+# The value rules are SQL text over an operand (a column or lambda variable name), so that one
+# parsed expression covers a column however many rules it needs. Digits are ASCII only.
 
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
 
-def _digit(digits: Column, position: int) -> Column:
-    return F.ascii(F.substring(digits, position, 1)) - F.lit(48)
 
-
-def _mod11_digit(digits: Column, length: int) -> Column:
-    """Check digit over the first `length` digits, weights length+1 down to 2."""
-    weighted = sum(
-        (_digit(digits, i + 1) * F.lit(length + 1 - i) for i in range(1, length)),
-        _digit(digits, 1) * F.lit(length + 1),
+def _check_digit(digits: str, length: int) -> str:
+    """Mod-11 digit over the first `length` digits, weighted length+1 down to 2."""
+    total = (
+        f"aggregate(sequence(1, {length}), 0, "
+        f"(total, i) -> total + ({length + 2} - i) * (ascii(substr({digits}, i, 1)) - 48))"
     )
-    return (weighted * F.lit(10)) % F.lit(11) % F.lit(10)
+    return f"({total} * 10 % 11 % 10)"
 
 
-def cpf_is_valid(value: Column) -> Column:
-    """True for 11 digits, not all the same, both mod-11 digits right; NULL is false."""
-    digits = digits_of(value)
-    all_same = F.length(F.replace(digits, F.left(digits, F.lit(1)), F.lit(""))) == 0
-    return F.coalesce(
-        (F.length(digits) == 11)
-        & ~all_same
-        & (_mod11_digit(digits, 9) == _digit(digits, 10))
-        & (_mod11_digit(digits, 10) == _digit(digits, 11)),
-        F.lit(False),
+def cpf_is_valid(value: str) -> str:
+    """True for 11 digits, not all the same, both check digits right; NULL is false."""
+    return (
+        f"coalesce(exists(array({_digits(value)}), d -> length(d) = 11 AND d != repeat(left(d, 1), 11) "
+        f"AND {_check_digit('d', 9)} = ascii(substr(d, 10, 1)) - 48 "
+        f"AND {_check_digit('d', 10)} = ascii(substr(d, 11, 1)) - 48), false)"
     )
 
 
-def cpf_with_check_digits(base: Column) -> Column:
-    """Append both check digits to a nine digit string."""
-    ten = F.concat(base, _mod11_digit(base, 9).cast("string"))
-    return F.concat(ten, _mod11_digit(ten, 10).cast("string"))
+def cpf_with_check_digits(base: str) -> str:
+    """A nine digit string completed with both check digits."""
+    ten = f"transform(array({base}), b -> concat(b, {_check_digit('b', 9)}))"
+    return f"transform({ten}, t -> concat(t, {_check_digit('t', 10)}))[0]"
 
 
-def is_email(value: Column) -> Column:
-    return value.rlike(EMAIL_PATTERN)
+def is_email(value: str) -> str:
+    return f"({value} RLIKE r'{EMAIL_PATTERN}')"
 
 
-def has_cpf_shape(value: Column) -> Column:
-    return value.rlike(CPF_PATTERN)
+def has_cpf_shape(value: str) -> str:
+    return f"({value} RLIKE r'{CPF_PATTERN}')"
 
 
-def is_phone(value: Column) -> Column:
-    return value.rlike(PHONE_PATTERN) & F.length(digits_of(value)).between(10, 15)
+def is_phone(value: str) -> str:
+    # CASE, not AND: a conjunction would let common subexpressions strip the digits of every
+    # text before looking at its shape.
+    return (
+        f"CASE WHEN {value} RLIKE r'{PHONE_PATTERN}' THEN length({_digits(value)}) BETWEEN 10 AND 15 "
+        f"WHEN {value} IS NOT NULL THEN false END"
+    )
 
 
-def _value_label(email: Column, shape: Column, verified: Column, phone: Column) -> Column:
+def _value_label(email: str, shape: str, verified: str, phone: str) -> str:
     # The shape-only branch can never be reached, since a CPF shape is also a phone
     # shape. It is kept so that the rule order stays readable.
     return (
-        F.when(email, F.lit("email"))
-        .when(shape & verified, F.lit("national_id_verified"))
-        .when(phone, F.lit("phone"))
-        .when(shape, F.lit("national_id_shape"))
+        f"CASE WHEN {email} THEN 'email' WHEN {shape} AND {verified} THEN 'national_id_verified' "
+        f"WHEN {phone} THEN 'phone' WHEN {shape} THEN 'national_id_shape' END"
     )
 
 
-def classify_value(value: Column) -> Column:
+def classify_value(value: str) -> str:
     """Label of one text value."""
-    return _value_label(is_email(value), has_cpf_shape(value), cpf_is_valid(value), is_phone(value))
+    verified = f"CASE WHEN {has_cpf_shape(value)} THEN {cpf_is_valid(value)} END"
+    return _value_label(is_email(value), has_cpf_shape(value), verified, is_phone(value))
 
 
-def classify_values(value: Column) -> Column:
+def classify_values(value: str) -> str:
     """Aggregate label of a text column: a rule counts only if every non-null value obeys it.
 
     bool_and skips NULLs and is NULL over no values, so an all-null column gets no label.
     CPF arithmetic runs only for values of CPF shape.
     """
-    verified = F.when(value.isNotNull(), has_cpf_shape(value) & cpf_is_valid(value))
+    verified = (
+        f"CASE WHEN {has_cpf_shape(value)} THEN {cpf_is_valid(value)} WHEN {value} IS NOT NULL THEN false END"
+    )
     return _value_label(
-        F.bool_and(is_email(value)),
-        F.bool_and(has_cpf_shape(value)),
-        F.bool_and(verified),
-        F.bool_and(is_phone(value)),
+        f"bool_and({is_email(value)})",
+        f"bool_and({has_cpf_shape(value)})",
+        f"bool_and({verified})",
+        f"bool_and({is_phone(value)})",
     )
 
 

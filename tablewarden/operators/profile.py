@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.pii import SAMPLE_ROWS, classify_by_name, classify_values, is_textual, sample_text
 from ..sources.registry import TableSource
@@ -19,11 +19,10 @@ TABLE_KEY = ["table_catalog", "table_schema", "table_name"]
 # Wide rows leave whole-stage code generation (spark.sql.codegen.maxFields), so very wide
 # tables are aggregated a group of columns at a time.
 COLUMNS_PER_AGGREGATE = 50
-DISTINCT_ERROR = 0.05
+# log2 of the sketch's buckets, about 1.6% error. One binary buffer per column keeps the
+# aggregation row narrow, and sketches of partitions or scans could be merged.
+SKETCH_SIZE = 12
 
-STAT_FIELDS = [
-    "column_name", "ordinal_position", "non_null", "distinct_count", "is_single_valued", "pii_by_value",
-]
 
 
 def _is_orderable(data_type: T.DataType) -> bool:
@@ -34,36 +33,34 @@ def _is_orderable(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.MapType, T.VariantType))
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _column_stats(field: T.StructField, position: int, values: bool) -> Column:
-    column = _quoted(field.name)
-    orderable = _is_orderable(field.dataType)
-    distinct = F.approx_count_distinct(column, DISTINCT_ERROR) if orderable else F.lit(None).cast("long")
-    # min = max proves a single value exactly, where a sketch may be off by one.
-    single = F.min(column).eqNullSafe(F.max(column)) if orderable else F.lit(False)
-    label = (
-        classify_values(column)
-        if values and is_textual(field.dataType)
-        else F.lit(None).cast("string")
-    )
-    return F.struct(
-        F.lit(field.name).alias("column_name"),
-        F.lit(position).alias("ordinal_position"),
-        F.count(column).alias("non_null"),
-        distinct.alias("distinct_count"),
-        single.alias("is_single_valued"),
-        label.alias("pii_by_value"),
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _column_stats(field: T.StructField, position: int, values: bool) -> str:
+    column = quoted(field.name)
+    distinct, single, label = "CAST(NULL AS BIGINT)", "false", "CAST(NULL AS STRING)"
+    if _is_orderable(field.dataType):
+        distinct = f"hll_sketch_estimate(hll_sketch_agg(if({column} IS NULL, NULL, xxhash64({column})), {SKETCH_SIZE}))"
+        # min = max proves a single value exactly, where a sketch may be off by one.
+        single = f"min({column}) <=> max({column})"
+    if values and is_textual(field.dataType):
+        label = classify_values(column)
+    return (
+        f"named_struct('column_name', {literal(field.name)}, 'ordinal_position', {position}, "
+        f"'non_null', count({column}), 'distinct_count', {distinct}, 'is_single_valued', {single}, "
+        f"'pii_by_value', {label})"
     )
 
 
-def _keyed(table: TableSource) -> list[Column]:
+def _key(table: TableSource) -> list[str]:
     return [
-        F.lit(table.catalog).alias("table_catalog"),
-        F.lit(table.schema).alias("table_schema"),
-        F.lit(table.name).alias("table_name"),
+        f"{literal(value)} AS {name}"
+        for name, value in zip(TABLE_KEY, (table.catalog, table.schema, table.name))
     ]
 
 
@@ -82,22 +79,22 @@ def profile_table(table: TableSource, values: bool = True) -> DataFrame:
         fields[i : i + COLUMNS_PER_AGGREGATE] for i in range(0, len(fields), COLUMNS_PER_AGGREGATE)
     ]
     parts = [
-        table.data.agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.array(*[_column_stats(field, position, values) for position, field in group]).alias("stats"),
-        ).select("row_count", F.inline("stats").alias(*STAT_FIELDS))
+        table.data.selectExpr(
+            "count(1) AS row_count",
+            f"array({', '.join(_column_stats(field, position, values) for position, field in group)}) AS stats",
+        ).selectExpr(*_key(table), "row_count", "inline(stats)")
         for group in groups
     ]
-    return union_all(parts).select(
-        *_keyed(table),
+    return union_all(parts).selectExpr(
+        *TABLE_KEY,
         "column_name",
         "ordinal_position",
         "row_count",
-        (F.col("row_count") - F.col("non_null")).alias("null_count"),
-        F.try_divide(F.col("row_count") - F.col("non_null"), F.col("row_count")).alias("null_ratio"),
+        "row_count - non_null AS null_count",
+        "try_divide(row_count - non_null, row_count) AS null_ratio",
         "distinct_count",
-        ((F.col("row_count") > 0) & (F.col("non_null") == 0)).alias("is_all_null"),
-        ((F.col("non_null") > 0) & F.col("is_single_valued")).alias("is_constant"),
+        "row_count > 0 AND non_null = 0 AS is_all_null",
+        "non_null > 0 AND is_single_valued AS is_constant",
         "pii_by_value",
     )
 
@@ -122,8 +119,10 @@ def exact_distinct(tables: list[TableSource]) -> DataFrame:
     """
     return union_all(
         [
-            table.data.agg(F.count_distinct(_quoted(field.name)).alias("exact_distinct")).select(
-                *_keyed(table), F.lit(field.name).alias("column_name"), "exact_distinct"
+            table.data.selectExpr(
+                *_key(table),
+                f"{literal(field.name)} AS column_name",
+                f"count(DISTINCT {quoted(field.name)}) AS exact_distinct",
             )
             for table in tables
             for field in table.data.schema.fields
@@ -138,22 +137,20 @@ def column_samples(table: TableSource, key: str, columns: list[str] | None = Non
     A top-k per task and a merge of five rows; only the asked columns are read.
     """
     names = columns if columns is not None else [f.name for f in table.data.schema.fields]
+    row_values = ", ".join(f"CAST({quoted(n)} AS STRING)" for n in names)
     head = (
-        table.data.select(
-            _quoted(key).alias("sample_key"),
-            F.array(*[_quoted(n).cast("string") for n in names]).alias("row_values"),
-        )
+        table.data.selectExpr(f"{quoted(key)} AS sample_key", f"array({row_values}) AS row_values")
         .orderBy("sample_key")
         .limit(SAMPLE_ROWS)
     )
     return (
-        head.select("sample_key", F.posexplode("row_values").alias("position", "value"))
+        head.selectExpr("sample_key", "posexplode(row_values) AS (position, value)")
         .groupBy("position")
-        .agg(F.array_sort(F.collect_list(F.struct("sample_key", "value"))).alias("picked"))
-        .select(
-            *_keyed(table),
-            F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1).alias("column_name"),
-            F.col("picked.value").alias("samples"),
+        .agg(F.expr("array_sort(collect_list(struct(sample_key, value)))").alias("picked"))
+        .selectExpr(
+            *_key(table),
+            f"element_at(array({', '.join(literal(n) for n in names)}), position + 1) AS column_name",
+            "picked.value AS samples",
         )
     )
 
@@ -174,25 +171,21 @@ def castable_share(table: TableSource, columns: list[str]) -> DataFrame:
     A column is mistyped when every non-null value reads as one of them; numbers are tried
     first, then dates, then timestamps.
     """
-    def stats(name: str) -> Column:
-        value = _quoted(name)
-        return F.struct(
-            F.lit(name).alias("column_name"),
-            F.count(value).alias("non_null"),
-            F.count(value.try_cast("double")).alias("as_double"),
-            F.count(value.try_cast("date")).alias("as_date"),
-            F.count(value.try_cast("timestamp_ntz")).alias("as_timestamp"),
-        )
-
-    full = lambda name: (F.col("non_null") > 0) & (F.col(name) == F.col("non_null"))
-    inferred = (
-        F.when(full("as_double"), "double")
-        .when(full("as_timestamp") & full("as_date"), "date")
-        .when(full("as_timestamp"), "timestamp")
-        .otherwise("string")
+    stats = ", ".join(
+        f"named_struct('column_name', {literal(c)}, 'non_null', count({quoted(c)}), "
+        f"'as_double', count(try_cast({quoted(c)} AS DOUBLE)), 'as_date', count(try_cast({quoted(c)} AS DATE)), "
+        f"'as_timestamp', count(try_cast({quoted(c)} AS TIMESTAMP_NTZ)))"
+        for c in columns
     )
     return (
-        table.data.agg(F.array(*[stats(c) for c in columns]).alias("stats"))
-        .select(F.inline("stats"))
-        .select(*_keyed(table), "*", inferred.alias("inferred_type"), (inferred != "string").alias("type_looks_wrong"))
+        table.data.selectExpr(f"array({stats}) AS stats")
+        .selectExpr("inline(stats)")
+        .selectExpr(
+            *_key(table),
+            "*",
+            "CASE WHEN non_null = 0 THEN 'string' WHEN as_double = non_null THEN 'double' "
+            "WHEN as_date = non_null AND as_timestamp = non_null THEN 'date' "
+            "WHEN as_timestamp = non_null THEN 'timestamp' ELSE 'string' END AS inferred_type",
+        )
+        .selectExpr("*", "inferred_type != 'string' AS type_looks_wrong")
     )

@@ -12,7 +12,7 @@ from ..operators import findings, profile as profiling, usage
 from ..operators.profile import TABLE_KEY
 from ..sources import store
 from ..sources.registry import (
-    TableSource, columns_frame, file_stats, is_fragmented, registry_frame, tables_in_scope,
+    TableSource, columns_frame, file_stats, is_fragmented, registry_frame, row_counts, tables_in_scope,
 )
 
 
@@ -58,10 +58,9 @@ def scan(
     if samples:
         keyed = [profiling.column_samples(t, t.data.columns[0]) for t in scoped]
         profile = profiling.with_stored_samples(profile, profiling.union_all(keyed))
-    counts = profile.groupBy(*TABLE_KEY).agg(F.max("row_count").alias("row_count"))
     inventory = (
         usage.with_last_read(in_scope, usage.last_read_by_name(reads, in_scope), asof)
-        .join(counts, TABLE_KEY, "left")
+        .join(row_counts(scoped), TABLE_KEY, "left")
         .join(file_stats(spark, scoped), TABLE_KEY, "left")
         .withColumn("fragmented", is_fragmented(F.col("num_files"), F.col("size_bytes")))
     )

@@ -79,19 +79,20 @@ def query_log(spark: SparkSession, directory: str, layered: bool = False) -> Dat
 
 def contacts(spark: SparkSession, directory: str) -> TableSource:
     """Customers with columns that hold personal data, half-clean data, nothing, or one value."""
-    key = F.col("c_custkey").cast("string")
-    cpf = cpf_with_check_digits(F.lpad((F.col("c_custkey") + 1).cast("string"), 9, "0"))
-    broken = F.when(F.col("c_mktsegment") == "BUILDING", F.overlay(cpf, F.lit("x"), F.lit(11))).otherwise(cpf)
-    data = read(spark, directory, "customer").select(
-        "c_custkey",
-        F.concat(F.lit("c"), key, F.lit("@example.com")).alias("contact"),
-        F.when(F.col("c_nationkey") > 5, F.concat(F.lit("+55 (11) 9"), F.lpad(key, 8, "0"))).alias("line_no"),
-        cpf.alias("document_no"),
-        broken.alias("old_document_no"),
-        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("not an email"))
-        .otherwise(F.concat(key, F.lit("@example.org"))).alias("mixed"),
-        F.lit(None).cast("string").alias("nickname"),
-        F.lit("BR").alias("country"),
+    cpf = cpf_with_check_digits("lpad(c_custkey + 1, 9, '0')")
+    data = (
+        read(spark, directory, "customer")
+        .selectExpr("c_custkey", "c_nationkey", "c_mktsegment", f"{cpf} AS cpf")
+        .selectExpr(
+            "c_custkey",
+            "concat('c', c_custkey, '@example.com') AS contact",
+            "CASE WHEN c_nationkey > 5 THEN concat('+55 (11) 9', lpad(c_custkey, 8, '0')) END AS line_no",
+            "cpf AS document_no",
+            "CASE WHEN c_mktsegment = 'BUILDING' THEN concat(left(cpf, 10), 'x') ELSE cpf END AS old_document_no",
+            "CASE WHEN c_mktsegment = 'BUILDING' THEN 'not an email' ELSE concat(c_custkey, '@example.org') END AS mixed",
+            "CAST(NULL AS STRING) AS nickname",
+            "'BR' AS country",
+        )
     )
     return TableSource(CATALOG, "crm", "contacts", data)
 

@@ -263,7 +263,7 @@ def _estate(query: str, *more: str) -> str:
     return "WITH " + ",\n".join([ESTATE, *more]) + "\n" + query
 
 
-# Counts behind score and summary; {0} is the expression for a comment being there.
+# Counts behind score and summary; `with_comment` is the condition for a comment being there.
 def _measures(key: str, suffix: str = "", with_comment: str = "has_comment") -> str:
     return f"""table_counts{suffix} AS (
   SELECT {key} AS k, count(*) AS n_tables, count(*) FILTER (WHERE {with_comment}) AS documented_tables,
@@ -407,6 +407,19 @@ ORACLES["approx_distinct"] = (
     )
     + ")"
 )
+_LAKE_NAMES = ", ".join(_quote(n) for n in ALL_TABLES)
+ORACLES["lake_health"] = f"""WITH {CONTACTS}, {LEGACY}, {_LAKE_LOG},
+seen AS (SELECT n, max(ts) AS r FROM (SELECT unnest([{_LAKE_NAMES}]) AS n) LEFT JOIN log ON t = n GROUP BY 1),
+inventory AS (
+  SELECT 'lake' AS table_catalog, n IN ('orders', 'events') AS has_comment, false AS fragmented,
+    r IS NULL OR epoch(TIMESTAMP '2024-04-15' - r) >= 91 * 86400 AS orphan FROM seen),
+columns_ AS (
+  SELECT 'lake' AS table_catalog, false AS has_comment, {_name_label('column_name')} IS NOT NULL OR pii_by_value IS NOT NULL AS is_pii_candidate,
+    is_constant OR (row_count > 0 AND null_count = row_count) AS dead FROM ({_profile(ALL_TABLES, labels=True)})),
+{_measures("table_catalog")}
+SELECT k AS table_catalog, round(documentation, 6) AS documentation, round(pii_governance, 6) AS pii_governance,
+  round(freshness, 6) AS freshness, round(column_quality, 6) AS column_quality, round(delta_hygiene, 6) AS delta_hygiene,
+  round(overall, 6) AS overall, CAST(round_even(overall * 100, 0) AS INTEGER) AS score FROM scores"""
 ORACLES["undocumented"] = _estate(
     "SELECT k AS table_catalog, n_tables - documented_tables AS undocumented_tables, "
     "n_columns - documented_columns AS undocumented_columns, pii_columns - pii_documented AS undocumented_pii FROM measures",
@@ -678,7 +691,7 @@ ORACLES["run_counters"] = _estate(
 ORACLES["before_after_score"] = _estate(
     "SELECT k AS catalog, CASE WHEN k <> 'promo' THEN CAST(round_even(b.overall * 100, 0) AS INTEGER) END AS before_score, "
     "CAST(round_even(a.overall * 100, 0) AS INTEGER) AS after_score FROM scores_after a JOIN scores b USING (k)",
-    _measures("table_catalog"), _measures("table_catalog", "_after", "has_comment OR is_writable"),
+    _measures("table_catalog"), _measures("table_catalog", "_after", "(has_comment OR is_writable)"),
 )
 ORACLES["run_cost"] = f"""SELECT run_id, prompt_tokens, completion_tokens, columns_documented, prompt_tokens AS seconds,
   round(cost, 9) AS est_cost_usd, round(cost / nullif(columns_documented, 0), 9) AS usd_per_comment FROM (
@@ -693,7 +706,7 @@ ORACLES["catalog_search"] = _estate(
     SELECT query_id, table_key, ordinal, column_name, sum(w * idf * times) * sum(times) / any_value(n) AS score FROM matched
     JOIN qterm USING (term) JOIN weight USING (term) GROUP BY 1, 2, 3, 4) WHERE score > 0.9) WHERE rank <= 6""",
     _FIELDS,
-    _search("SELECT DISTINCT p_name || '/' || p_brand AS query_id, 'which email columns hold the ' || p_name || ' ' || lower(replace(p_brand, '#', '_')) AS query FROM part"),
+    _search("SELECT DISTINCT p_name AS query_id, 'which email columns hold the ' || p_name AS query FROM part"),
     """matched AS (
   SELECT term, table_key, ordinal, column_name, CASE WHEN contains(name, term) THEN 2.0 WHEN contains(hay, term) THEN 1.0 ELSE 0.25 END AS w
   FROM vocabulary JOIN fields ON contains(hay, term) OR contains(table_hay, term))""",

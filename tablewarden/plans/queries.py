@@ -116,13 +116,12 @@ def pii_by_name(spark: SparkSession, d: str) -> DataFrame:
 def pii_by_value(spark: SparkSession, d: str) -> DataFrame:
     """Value verdict of every text column, over all its values, in the profile's own pass."""
     tables = [*lake.tables(spark, d), lake.contacts(spark, d)]
-    textual = [
-        (t.name, f.name) for t in tables for f in t.data.schema.fields if pii.is_textual(f.dataType)
-    ]
-    wanted = F.struct("table_name", "column_name").isin(
-        [F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name")) for t, c in textual]
+    textual = registry.columns_frame(spark, tables).where(F.col("data_type") == "string")
+    return (
+        profiling.profile_tables(tables)
+        .join(textual.select(*TABLE_KEY, "column_name"), [*TABLE_KEY, "column_name"], "left_semi")
+        .select("table_name", "column_name", "pii_by_value")
     )
-    return profiling.profile_tables(tables).where(wanted).select("table_name", "column_name", "pii_by_value")
 
 
 def pii_token_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +130,7 @@ def pii_token_scan(spark: SparkSession, d: str) -> DataFrame:
     # Every rule needs an @ or a digit; the check is cheap and most words have neither.
     return (
         words.where(F.col("word").rlike("[@0-9]"))
-        .withColumn("label", pii.classify_value(F.col("word")))
+        .withColumn("label", F.expr(pii.classify_value("word")))
         .where(F.col("label").isNotNull())
         .groupBy("lang", "label")
         .agg(F.count(F.lit(1)).alias("words"))
@@ -149,14 +148,15 @@ def pii_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def cpf_check(spark: SparkSession, d: str) -> DataFrame:
     """Check digits appended to order keys; final orders get a wrong last digit."""
-    cpf = pii.cpf_with_check_digits(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
-    last = F.substring("cpf", 11, 1).cast("int")
-    broken = F.concat(F.left("cpf", F.lit(10)), ((last + 1) % 10).cast("string"))
+    made = pii.cpf_with_check_digits("lpad(o_orderkey, 9, '0')")
     return (
         read(spark, d, "orders")
-        .select("o_orderstatus", cpf.alias("cpf"))
-        .select("o_orderstatus", F.when(F.col("o_orderstatus") == "F", broken).otherwise(F.col("cpf")).alias("cpf"))
-        .groupBy("o_orderstatus", pii.cpf_is_valid(F.col("cpf")).alias("is_valid"))
+        .selectExpr("o_orderstatus", f"{made} AS made")
+        .selectExpr(
+            "o_orderstatus",
+            "CASE WHEN o_orderstatus = 'F' THEN concat(left(made, 10), (int(right(made, 1)) + 1) % 10) ELSE made END AS cpf",
+        )
+        .groupBy("o_orderstatus", F.expr(pii.cpf_is_valid("cpf")).alias("is_valid"))
         .agg(F.count(F.lit(1)).alias("numbers"), F.min("cpf").alias("smallest"))
     )
 
@@ -448,7 +448,7 @@ def pii_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def label_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Two verdicts on documents: value rules on the text against the given toxic label."""
-    has_contact = F.exists(F.split("text", r"\s+"), lambda w: pii.is_email(w) | pii.is_phone(w))
+    has_contact = F.expr(f"exists(split(text, r'\\s+'), w -> {pii.is_email('w')} OR {pii.is_phone('w')})")
     return (
         read(spark, d, "documents")
         .join(read(spark, d, "labels"), "doc_id")
@@ -599,10 +599,9 @@ def run_cost(spark: SparkSession, d: str) -> DataFrame:
 # Search
 
 def _searches(spark: SparkSession, d: str) -> DataFrame:
-    """What people look for: every kind of part with the personal data it may hold."""
-    return read(spark, d, "part").select("p_name", "p_brand").distinct().select(
-        F.concat_ws("/", "p_name", "p_brand").alias("query_id"),
-        F.concat_ws(" ", F.lit("which email columns hold the"), "p_name", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("query"),
+    """What people look for: every kind of part, and the personal data its tables hold."""
+    return read(spark, d, "part").select(F.col("p_name").alias("query_id")).distinct().withColumn(
+        "query", F.concat_ws(" ", F.lit("which email columns hold the"), "query_id")
     )
 
 
