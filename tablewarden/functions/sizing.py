@@ -1,0 +1,18 @@
+"""Broadcasting behind a check of the real row count."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# About 20 MB at the widths used here. Beyond it joins shuffle and adaptive execution splits
+# hot keys.
+BROADCAST_ROWS = 200_000
+
+
+def is_small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether there are at most `limit` rows. Reads no more than that many."""
+    return rows.limit(limit + 1).count() <= limit
+
+
+def broadcast_if(small: bool, rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if small else rows

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.generate import explode_once
+from ..functions.sizing import broadcast_if, is_small
 from ..functions.text import citation, markdown_sections, passage, tokenize
 from ..sources.documents import system_for
 from .profile import TABLE_KEY
@@ -25,9 +27,11 @@ MIN_SCORE = 0.5
 
 def chunk_documents(documents: DataFrame, key: list[str]) -> DataFrame:
     """One row per Markdown section: key columns, position (from 0), heading, body."""
-    return documents.select(
-        *key, F.posexplode(markdown_sections(F.col("text"))).alias("position", "section")
-    ).select(*key, "position", "section.heading", "section.body")
+    return (
+        documents.select(*key, F.posexplode_outer(markdown_sections(F.col("text"))).alias("position", "section"))
+        .where(F.col("section").isNotNull())
+        .select(*key, "position", "section.heading", "section.body")
+    )
 
 
 def corpus_chunks(documents: DataFrame) -> DataFrame:
@@ -46,15 +50,10 @@ def chunk_tokens() -> Column:
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """Term counts: (system, chunk_id, length, term, tf)."""
+    tokens = chunks.repartition("chunk_id").select("system", "chunk_id", chunk_tokens().alias("tokens"))
+    length = F.greatest(F.size("tokens"), F.lit(1)).alias("length")
     return (
-        chunks.repartition("chunk_id")
-        .select("system", "chunk_id", chunk_tokens().alias("tokens"))
-        .select(
-            "system",
-            "chunk_id",
-            F.greatest(F.size("tokens"), F.lit(1)).alias("length"),
-            F.explode("tokens").alias("term"),
-        )
+        explode_once(tokens, F.col("tokens"), "term", "system", "chunk_id", length)
         .groupBy("system", "chunk_id", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -107,12 +106,15 @@ def rank_chunks(queries: DataFrame, chunks: DataFrame, terms: DataFrame | None =
     equal chunks tie however their sums were ordered, and ties keep chunk order.
     """
     terms = chunk_terms(chunks) if terms is None else terms
-    wanted = queries.select("query_id", "system", F.explode(F.array_distinct("terms")).alias("term"))
-    postings = terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = explode_once(queries, F.array_distinct("terms"), "term", "query_id", "system")
+    # With few query terms nothing but their frequencies is shuffled after chunk_terms: the
+    # postings stay where their chunk is, and sums per (query, chunk) are local.
+    small = is_small(wanted)
+    postings = terms.join(broadcast_if(small, wanted.select("term").distinct()), "term", "left_semi")
     weights = document_frequency(postings, chunks).select("term", "idf")
     order = Window.partitionBy("query_id").orderBy(F.col("sort_score").desc(), "chunk_id")
     return (
-        postings.join(wanted.join(weights, "term"), ["system", "term"])
+        postings.join(broadcast_if(small, wanted.join(weights, "term")), ["system", "term"])
         .groupBy("query_id", "system", "chunk_id", "length")
         .agg(F.sum(F.col("idf") * F.col("tf")).alias("weight"))
         .withColumn("score", F.col("weight") / F.sqrt("length"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.generate import explode_once
+from ..functions.sizing import broadcast_if, is_small
 from ..functions.text import is_filled, search_runs, search_terms
 from .usage import is_orphan
 
@@ -26,8 +28,10 @@ PIECE = 3
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times, n_terms), one row per distinct term of a query."""
     return (
-        queries.select("query_id", search_terms(F.col("query")).alias("terms"))
-        .select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+        explode_once(
+            queries.select("query_id", search_terms(F.col("query")).alias("terms")),
+            F.col("terms"), "term", "query_id", F.size("terms").alias("n_terms"),
+        )
         .groupBy("query_id", "n_terms", "term")
         .agg(F.count(F.lit(1)).alias("times"))
     )
@@ -35,22 +39,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def _postings(rows: DataFrame, key: list[str], text: Column) -> DataFrame:
     """Distinct words of each row's text: key columns and word."""
-    return rows.select(*key, F.explode(F.array_distinct(search_runs(text))).alias("word"))
+    return explode_once(rows, F.array_distinct(search_runs(text)), "word", *key)
 
 
 def matching_words(terms: DataFrame, words: DataFrame) -> DataFrame:
     """(term, word) for every word that contains the term."""
-    pieces = words.where(F.length("word") >= PIECE).select(
-        "word",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("word") - (PIECE - 1)),
-                    lambda i: F.substr("word", i, F.lit(PIECE)),
-                )
-            )
-        ).alias("piece"),
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.length("word") - (PIECE - 1)),
+        lambda i: F.substr("word", i, F.lit(PIECE)),
     )
+    pieces = explode_once(words.where(F.length("word") >= PIECE), F.array_distinct(cuts), "piece", "word")
     return (
         terms.select("term", F.left("term", F.lit(PIECE)).alias("piece"))
         .join(pieces, "piece")
@@ -103,9 +101,17 @@ def search_columns(queries: DataFrame, fields: DataFrame) -> DataFrame:
         .join(fields.select(*key), "table_key")
         .select("term", *key, F.lit(TABLE_WEIGHT).alias("weight"))
     )
-    best = weighed.unionByName(in_table).groupBy("term", *key).agg(F.max("weight").alias("weight"))
+    # Matches move once, to their field; with few query terms the sums per (query, field)
+    # then need no exchange.
+    small = is_small(terms)
+    best = (
+        weighed.unionByName(in_table)
+        .repartition(*key)
+        .groupBy("term", *key)
+        .agg(F.max("weight").alias("weight"))
+    )
     scored = (
-        best.join(terms.join(term_weights(terms, hits, fields), "term"), "term")
+        best.join(broadcast_if(small, terms.join(term_weights(terms, hits, fields), "term")), "term")
         .groupBy("query_id", "n_terms", *key)
         .agg(
             F.sum(F.col("weight") * F.col("idf") * F.col("times")).alias("raw"),
@@ -127,7 +133,8 @@ def search_documents(queries: DataFrame, documents: DataFrame, fields: DataFrame
     hits = _term_hits(terms.select("term").distinct(), _postings(documents, ["doc_id"], F.col("text")), ["doc_id"])
     weights = term_weights(terms, column_hits(terms, fields), fields)
     scored = (
-        hits.join(terms.join(weights, "term"), "term")
+        hits.repartition("doc_id")
+        .join(broadcast_if(is_small(terms), terms.join(weights, "term")), "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("idf") * F.col("times")).alias("score"))
     )

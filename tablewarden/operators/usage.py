@@ -12,6 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.generate import explode_once
 from .profile import TABLE_KEY
 
 # Every statement the audit runs carries this comment, so that its own reads can be told
@@ -60,7 +61,7 @@ def last_read_by_name(reads: DataFrame, tables: DataFrame) -> DataFrame:
         lambda n: F.regexp_replace(n, r"[`\s]", ""),
     )
     mentioned = _latest(
-        reads.select("start_time", F.explode(F.array_distinct(names)).alias("mentioned_name")),
+        explode_once(reads, F.array_distinct(names), "mentioned_name", "start_time"),
         ["mentioned_name"],
     )
     full = F.lower(F.concat_ws(".", *TABLE_KEY))
@@ -94,18 +95,15 @@ def last_read_by_substring(reads: DataFrame, tables: DataFrame) -> DataFrame:
     dots = _latest(
         reads.select("start_time", parts.alias("parts"))
         .where(F.size("parts") > 1)
-        .select("start_time", F.inline(F.array_distinct(around_dots))),
+        .select("start_time", F.inline_outer(F.array_distinct(around_dots))),
         ["left_run", "right_run"],
     )
-    prefixes = dots.where(F.length("right_run") > 0).select(
-        "left_run",
-        F.col("last_read_at").alias("start_time"),
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("right_run")),
-                lambda n: F.left(F.col("right_run"), n),
-            )
-        ).alias("wanted_name"),
+    starts = F.transform(
+        F.sequence(F.lit(1), F.length("right_run")), lambda n: F.left(F.col("right_run"), n)
+    )
+    prefixes = explode_once(
+        dots.where(F.length("right_run") > 0), starts, "wanted_name",
+        "left_run", F.col("last_read_at").alias("start_time"),
     )
     wanted = tables.select(
         *TABLE_KEY,

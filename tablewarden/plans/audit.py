@@ -12,7 +12,7 @@ from ..operators import findings, profile as profiling, usage
 from ..operators.profile import TABLE_KEY
 from ..sources import store
 from ..sources.registry import (
-    TableSource, columns_frame, file_stats, is_fragmented, registry_frame, row_counts, tables_in_scope,
+    TableSource, columns_frame, file_stats, is_fragmented, metadata_frame, registry_frame, row_counts, tables_in_scope,
 )
 
 
@@ -72,8 +72,8 @@ def save(found: Scan, root: str, scan_id: str, catalog: str, started_at: datetim
     stamp = {"scan_id": F.lit(scan_id), "scanned_at": F.lit(started_at).cast("timestamp_ntz")}
     store.append(found.inventory.withColumns(stamp), root, "table_inventory")
     store.append(found.profile.withColumns(stamp), root, "column_profile")
-    run = found.inventory.sparkSession.createDataFrame(
-        [(scan_id, started_at, finished_at, catalog)], store.SCHEMAS["scan_runs"]
+    run = metadata_frame(
+        found.inventory.sparkSession, [(scan_id, started_at, finished_at, catalog)], store.SCHEMAS["scan_runs"]
     )
     store.append(run, root, "scan_runs")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.pii import cpf_with_check_digits
 from ..operators.usage import MARKER
-from ..sources.registry import REGISTRY_DDL, TableSource, parquet_tables
+from ..sources.registry import REGISTRY_DDL, TableSource, metadata_frame, parquet_tables
 
 CATALOG = "lake"
 SCHEMAS = {
@@ -48,7 +48,7 @@ def raw_registry(spark: SparkSession) -> DataFrame:
     """All tables as `lake.raw.*`, with two later versions and two internal backing tables."""
     names = [*TABLES, "orders_v2", "part_v2", "__MATERIALIZATION_mat_orders", "event_log_0a1b2c3d"]
     rows = [(CATALOG, "raw", name, "MANAGED", None, None, None, None) for name in names]
-    return spark.createDataFrame(rows, REGISTRY_DDL)
+    return metadata_frame(spark, rows, REGISTRY_DDL)
 
 
 def query_log(spark: SparkSession, directory: str, layered: bool = False) -> DataFrame:

@@ -694,7 +694,7 @@ ORACLES["before_after_score"] = _estate(
     _measures("table_catalog"), _measures("table_catalog", "_after", "(has_comment OR is_writable)"),
 )
 ORACLES["run_cost"] = f"""SELECT run_id, prompt_tokens, completion_tokens, columns_documented, prompt_tokens AS seconds,
-  round(cost, 9) AS est_cost_usd, round(cost / nullif(columns_documented, 0), 9) AS usd_per_comment FROM (
+  round(cost, 12) AS est_cost_usd, round(cost / nullif(columns_documented, 0), 12) AS usd_per_comment FROM (
   SELECT *, CASE WHEN last_turn NOT IN (1, 2) THEN prompt_tokens / 1e6 * 0.15::DOUBLE + completion_tokens / 1e6 * 0.60::DOUBLE END AS cost FROM (
     SELECT conv_id AS run_id, CAST(coalesce(sum({_RUN_WORDS}) FILTER (WHERE role = 'user'), 0) AS BIGINT) AS prompt_tokens,
       CAST(coalesce(sum({_RUN_WORDS}) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS completion_tokens,

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import pii, text
+from ..functions.generate import explode_once
 from ..operators import findings, profile as profiling, retrieval, rollups, runs, search, suggest, usage
 from ..operators.profile import TABLE_KEY
 from ..sources import registry, store
@@ -126,7 +127,7 @@ def pii_by_value(spark: SparkSession, d: str) -> DataFrame:
 
 def pii_token_scan(spark: SparkSession, d: str) -> DataFrame:
     """Value rules on every word of every document."""
-    words = read(spark, d, "documents").select("lang", F.explode(F.split("text", r"\s+")).alias("word"))
+    words = explode_once(read(spark, d, "documents"), F.split("text", r"\s+"), "word", "lang")
     # Every rule needs an @ or a digit; the check is cheap and most words have neither.
     return (
         words.where(F.col("word").rlike("[@0-9]"))
@@ -319,7 +320,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
         read(spark, d, "benchmark").select(F.lit("benchmark").alias("kind"), "text")
     )
     return (
-        kinds.select("kind", F.explode(text.tokenize(F.col("text"))).alias("term"))
+        explode_once(kinds, text.tokenize(F.col("text")), "term", "kind")
         .groupBy("kind", "term")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
@@ -592,7 +593,7 @@ def run_cost(spark: SparkSession, d: str) -> DataFrame:
     )
     return runs.run_cost(run).select(
         "run_id", "prompt_tokens", "completion_tokens", "columns_documented", "seconds",
-        F.round("est_cost_usd", 9).alias("est_cost_usd"), F.round("usd_per_comment", 9).alias("usd_per_comment"),
+        F.round("est_cost_usd", 12).alias("est_cost_usd"), F.round("usd_per_comment", 12).alias("usd_per_comment"),
     )
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import is_filled
 
@@ -77,11 +78,23 @@ def catalog_tables(spark: SparkSession, catalog: str, schema: str) -> list[Table
     return found
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "timestamp_ntz": pa.timestamp("us")}
+
+
+def metadata_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Metadata rows as a local relation: its size is known to the optimizer and it needs no job."""
+    fields = T.StructType.fromDDL(ddl).fields
+    columns = [
+        pa.array([row[i] for row in rows], _ARROW[f.dataType.simpleString()]) for i, f in enumerate(fields)
+    ]
+    return spark.createDataFrame(pa.table(columns, names=[f.name for f in fields]))
+
+
 def registry_frame(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
     rows = [
         (t.catalog, t.schema, t.name, t.table_type, t.owner, None, None, t.comment) for t in tables
     ]
-    return spark.createDataFrame(rows, REGISTRY_DDL)
+    return metadata_frame(spark, rows, REGISTRY_DDL)
 
 
 def columns_frame(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
@@ -91,7 +104,7 @@ def columns_frame(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
         for t in tables
         for i, f in enumerate(t.data.schema.fields, start=1)
     ]
-    return spark.createDataFrame(rows, COLUMNS_DDL)
+    return metadata_frame(spark, rows, COLUMNS_DDL)
 
 
 def is_internal(table_name: Column) -> Column:
