@@ -54,16 +54,27 @@ def _latest(named_reads: DataFrame, keys: list[str]) -> DataFrame:
     return named_reads.groupBy(*keys).agg(F.max("start_time").alias("last_read_at"))
 
 
-def last_read_by_name(reads: DataFrame, tables: DataFrame) -> DataFrame:
-    """Latest read per table, matching whole `schema.table` or `catalog.schema.table` names."""
+def latest_by_name(reads: DataFrame) -> DataFrame:
+    """Latest time per distinct dotted name found in the statements."""
     names = F.transform(
         F.regexp_extract_all("statement_text", F.lit(_DOTTED_NAME), F.lit(0)),
         lambda n: F.regexp_replace(n, r"[`\s]", ""),
     )
-    mentioned = _latest(
+    return _latest(
         explode_once(reads, F.array_distinct(names), "mentioned_name", "start_time"),
         ["mentioned_name"],
     )
+
+
+def last_read_by_name(reads: DataFrame, tables: DataFrame) -> DataFrame:
+    """Latest read per table, matching whole `schema.table` or `catalog.schema.table` names.
+
+    `reads` are statements, or names already cut out of them (mentioned_name, start_time).
+    """
+    if "mentioned_name" in reads.columns:
+        mentioned = _latest(reads, ["mentioned_name"])
+    else:
+        mentioned = latest_by_name(reads)
     full = F.lower(F.concat_ws(".", *TABLE_KEY))
     bare = F.lower(F.concat_ws(".", "table_schema", "table_name"))
     return _latest(
