@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.moments import seconds_between
 from ..functions.text import is_filled, markdown_cell, strip
 from .profile import TABLE_KEY
 
@@ -76,7 +77,7 @@ def run_cost(runs: DataFrame) -> DataFrame:
     ) * price(F.col("price_out"))
     return runs.withColumn("est_cost_usd", cost).withColumn(
         "usd_per_comment", F.try_divide("est_cost_usd", "columns_documented")
-    ).withColumn("seconds", F.timestamp_diff("SECOND", "started_at", "finished_at"))
+    ).withColumn("seconds", seconds_between(F.col("started_at"), F.col("finished_at")))
 
 
 def before_after(runs: DataFrame, scans: DataFrame, scores: DataFrame) -> DataFrame:

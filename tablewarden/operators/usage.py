@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.generate import explode_once
+from ..functions.moments import moment, whole_days_between
 from .profile import TABLE_KEY
 
 # Every statement the audit runs carries this comment, so that its own reads can be told
@@ -38,7 +39,7 @@ def foreign_reads(log: DataFrame, asof: datetime, mentions: list[str]) -> DataFr
     Time and type filters reach the scan. Mentions are literal and ignore case.
     """
     text = F.lower(F.col("statement_text"))
-    since = F.lit(asof).cast("timestamp_ntz") - F.expr(f"INTERVAL {LOOK_BACK_DAYS} DAYS")
+    since = moment(asof) - F.expr(f"INTERVAL {LOOK_BACK_DAYS} DAYS")
     about = F.lit(False)
     for catalog in mentions:
         about = about | text.contains(catalog.lower())
@@ -129,16 +130,11 @@ def last_read_by_substring(reads: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
-def whole_days_between(earlier: Column, later: Column) -> Column:
-    """Completed 24 hour periods, which is not a difference of calendar dates."""
-    return F.timestamp_diff("DAY", earlier, later).cast("int")
-
-
 def with_last_read(tables: DataFrame, last_read: DataFrame, asof: datetime) -> DataFrame:
     read_at = F.col("last_read_at")
     return (
         tables.join(last_read.select(*TABLE_KEY, "last_read_at"), TABLE_KEY, "left")
-        .withColumn("days_since_read", whole_days_between(read_at, F.lit(asof).cast("timestamp_ntz")))
+        .withColumn("days_since_read", whole_days_between(read_at, moment(asof)))
         .withColumn("never_read", read_at.isNull())
     )
 
@@ -159,5 +155,5 @@ def last_read_label() -> Column:
 def recent_activity(rows: DataFrame, time_column: str, asof: datetime, days: int = 7) -> DataFrame:
     """Rows at or after `asof` minus a number of days; the bound is pushed to the scan."""
     return rows.where(
-        F.col(time_column) >= F.lit(asof).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
+        F.col(time_column) >= moment(asof) - F.expr(f"INTERVAL {days} DAYS")
     )

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.moments import moment
 from ..functions.text import is_filled
 from ..operators import findings, profile as profiling, usage
 from ..operators.profile import TABLE_KEY
@@ -69,7 +70,7 @@ def scan(
 
 def save(found: Scan, root: str, scan_id: str, catalog: str, started_at: datetime, finished_at: datetime) -> None:
     """Append a scan to the meta tables under `root`, which need not be in the audited lake."""
-    stamp = {"scan_id": F.lit(scan_id), "scanned_at": F.lit(started_at).cast("timestamp_ntz")}
+    stamp = {"scan_id": F.lit(scan_id), "scanned_at": moment(started_at)}
     store.append(found.inventory.withColumns(stamp), root, "table_inventory")
     store.append(found.profile.withColumns(stamp), root, "column_profile")
     run = metadata_frame(

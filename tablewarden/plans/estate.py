@@ -11,10 +11,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.moments import moment, whole_days_between
 from ..functions.pii import classify_by_name, sample_text
 from ..functions.text import is_filled
 from ..operators.profile import TABLE_KEY
-from ..operators.usage import MARKER, whole_days_between
+from ..operators.usage import MARKER
 from ..sources.documents import system_for
 from ..sources.registry import is_fragmented, tables_in_scope
 from .lake import read
@@ -89,7 +90,7 @@ def inventory(spark: SparkSession, directory: str) -> DataFrame:
         .withColumn("num_files", F.col("p_size").cast("long") * 4)
         .withColumn("fragmented", is_fragmented(F.col("num_files"), F.col("size_bytes")))
         .withColumn("last_read_at", F.when(F.col("p_size") < 46, F.col("latest")))
-        .withColumn("days_since_read", whole_days_between(F.col("last_read_at"), F.lit(ASOF).cast("timestamp_ntz")))
+        .withColumn("days_since_read", whole_days_between(F.col("last_read_at"), moment(ASOF)))
         .withColumn("never_read", F.col("last_read_at").isNull())
         .withColumn("table_key", F.concat_ws(".", *TABLE_KEY))
         .drop("latest")

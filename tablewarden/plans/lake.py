@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.pii import cpf_with_check_digits
+from ..functions.moments import moment
 from ..operators.usage import MARKER
 from ..sources.registry import REGISTRY_DDL, TableSource, metadata_frame, parquet_tables
 
@@ -58,7 +59,7 @@ def query_log(spark: SparkSession, directory: str, layered: bool = False) -> Dat
     """
     slot = (F.col("event_id") % len(LOGGED)).cast("int")
     picked = F.element_at(F.array(*[F.lit(n) for n in LOGGED]), slot + 1)
-    late = picked.isin("embeddings", "pages") & (F.col("ts") >= F.lit(REDIRECTED_FROM).cast("timestamp_ntz"))
+    late = picked.isin("embeddings", "pages") & (F.col("ts") >= moment(REDIRECTED_FROM))
     table = F.when(late, "lineitem").otherwise(picked)
     cased = F.when(F.col("event_id") % 5 == 0, F.initcap(table)).otherwise(table)
     schema = F.lit("raw")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import pii, text
 from ..functions.generate import explode_once
+from ..functions.moments import moment
 from ..operators import findings, profile as profiling, retrieval, rollups, runs, search, suggest, usage
 from ..operators.profile import TABLE_KEY
 from ..sources import registry, store
@@ -542,8 +543,8 @@ def before_after_score(spark: SparkSession, d: str) -> DataFrame:
     profile = stamped(columns, "before").unionByName(stamped(columns.withColumn("has_comment", written), "after"))
     history = scans.select("catalog", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("when")).select(
         "catalog", F.concat_ws("_", "when", "catalog").alias("scan_id"),
-        F.when(F.col("when") == "before", F.lit(datetime(2001, 11, 1))).otherwise(F.lit(datetime(2001, 11, 10)))
-        .cast("timestamp_ntz").alias("started_at"),
+        F.when(F.col("when") == "before", moment(datetime(2001, 11, 1))).otherwise(moment(datetime(2001, 11, 10)))
+        .alias("started_at"),
     )
     # Three runs per catalog: the one that wrote, a rerun that had nothing to write, and for
     # one catalog a later writing run on the newest scan.
