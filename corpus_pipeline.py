@@ -1,15 +1,61 @@
-"""The corpus pipeline: STAGES in order, each over all that its predecessor kept."""
+"""The corpus pipeline: STAGES in order, each over all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the caller may write
+and reread it. All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tablewarden.llm import decontaminate, language_id, mixing, near_dedup, sharding
+from tablewarden.llm.durable import cut
+
+SHARDS = 24
+
+# Language prototypes, set hashes, block permutations and the curve are not expressible in SQL.
+ORACLE_SQL = None
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is undetermined: no text, no letter."""
+    prototypes = language_id.learn(docs.where(~language_id.held_out("doc_id")).select("text", "lang"))
+    return language_id.identify(docs, prototypes).where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest id, of each group of near duplicates."""
+    dropped = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.without_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes words of each source by its weight; a row per run of words taken in one pass."""
+    return mixing.mixture(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds shard and slot, along a Hilbert curve through source, language, size, and id."""
+    return sharding.sharded(docs, docs.columns, SHARDS).select("row.*", "shard", "slot")
+
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+STAGES = [
+    ("language ID", identified),
+    ("MinHash near-dedup", deduplicated),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("sharding", sharded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. Each stage reads its input several times, so it is cut before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

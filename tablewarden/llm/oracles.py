@@ -9,7 +9,7 @@ def near_duplicates(shingle: int, percent: int, documents: str = "documents", pr
     """Common table expressions up to `{prefix}near` (doc_id, n_shingles, component_id)."""
     return rf"""
 {prefix}worded AS (
-  SELECT doc_id, [x for x in string_split_regex({LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+') if x <> ''] AS w
+  SELECT doc_id, [x FOR x IN string_split_regex({LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+') IF x <> ''] AS w
   FROM {documents}
 ),
 {prefix}sets AS (
@@ -36,8 +36,41 @@ def near_duplicates(shingle: int, percent: int, documents: str = "documents", pr
 )"""
 
 
+def contamination(n: int = 10) -> str:
+    """Common table expressions up to `hits` (doc_id, pos, length, item) and `bench` (item, window)."""
+    words = (
+        "[x FOR x IN string_split_regex("
+        + LOWER.format("coalesce(text, '')")
+        + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']"
+    )
+    return rf"""
+item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+sized AS (SELECT item, w, least(len(w), {n}) AS length FROM item_words WHERE len(w) > 0),
+bench AS (
+  SELECT DISTINCT item, length, unnest([array_to_string(w[i:i + length - 1], ' ') FOR i IN range(1, len(w) - length + 2)]) AS window_text
+  FROM sized
+),
+doc_words AS (SELECT doc_id, {words} AS w FROM documents),
+lengths AS (SELECT DISTINCT length FROM bench),
+runs AS (
+  SELECT doc_id, length, unnest(range(1, len(w) - length + 2)) AS pos, w FROM doc_words, lengths WHERE len(w) >= length
+),
+hits AS (
+  SELECT DISTINCT r.doc_id, r.pos, r.length, b.item
+  FROM runs r JOIN bench b ON b.length = r.length AND b.window_text = array_to_string(r.w[r.pos:r.pos + r.length - 1], ' ')
+)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": "WITH RECURSIVE"
     + near_duplicates(4, 80)
     + "\nSELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
+    "op6_decontamination": "WITH"
+    + contamination()
+    + """,
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + length)) AS place FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(f.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)""",
 }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewarden.llm import near_dedup
+from tablewarden.llm import decontaminate, language_id, mixing, near_dedup, sharding
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -17,6 +17,30 @@ def op3_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, directory, "documents"), shingle=4, percent=80)
 
 
+def op4_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.report(_table(spark, directory, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+def op6_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    found = decontaminate.report(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"), n=10)
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+def op7_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents")
+    prototypes = language_id.learn(docs.where(~language_id.held_out("doc_id")).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), prototypes).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    return sharding.report(_table(spark, directory, "documents"), shards=24)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_mixing": op4_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
+    "op10_sharding": op10_sharding,
 }
