@@ -4,16 +4,19 @@
    Documents with equal sets are one class from here on.
 2. Inverted lists of retained values generate overlaps. Of two sets as alike as asked, the sketches
    share at least `need` values (certain while a set is no larger than k, else but for a chance of
-   about 1e-8), so a class only enters the lists of its rarest values: all but `need` - 1 of them.
+   about 1e-7), so a class only enters the lists of its rarest values: all but `need` - 1 of them.
    Values that only one class holds count as rarest, so most classes enter no list at all, and
    passages that many documents share are hardly ever among the rarest.
+   Of the documents left, shingles that no other one has are counted exactly; that bounds what two
+   of them can share and rules most out, such as copies that were each edited in their own way.
 3. The union of two sketches estimates likeness; pairs clearly below the threshold go.
 4. The exact sets of what is left, recomputed from whole texts, decide.
 
-Lists are not expanded into all pairs. Each member is first compared with its list's smallest
-member only, the most alike first; classes joined that way need no further comparison. Lists that
-still span several components are compared in blocks of at most `BLOCK` members that emit the
-likely pairs only. Components are formed by joins.
+Lists are not expanded into all pairs. Each class is first compared with the likeliest of its lists'
+centres; classes joined that way need no further comparison. In lists that still span several
+components, members outside the largest one are compared with all, in blocks of about `BLOCK`
+members, each pair in one list only, and likely pairs alone are emitted. Components are formed by
+joins.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from tablewarden.llm.durable import cut
 from tablewarden.llm.words import hashed_words, mix
 
 SKETCH = 64
-BLOCK = 128
+# values of the larger sketches that candidates get for estimates
+LARGE = 256
+BLOCK = 1024
 _U = np.uint64
 _SIGN = _U(1 << 63)
 
@@ -67,7 +72,7 @@ def needed(n: int, similarity: float, k: int) -> int:
     return _fewest(similarity, k)
 
 
-def _fewest(similarity: float, k: int, chance: float = 1e-8) -> int:
+def _fewest(similarity: float, k: int, chance: float = 1e-7) -> int:
     """The largest count that a binomial of k draws falls short of with less than that chance."""
     term, total = (1 - similarity) ** k, 0.0
     for hits in range(k):
@@ -133,47 +138,71 @@ def _estimated(k: int, similarity: float):
     return run
 
 
-def _block_pairs(k: int, similarity: float):
-    """Likely pairs of each block pair of a list. Rows come sorted by list, block pair, and side."""
+def _list_pairs(k: int, percent: int):
+    """Likely pairs of a list's queries with the members of one of its blocks, which comes sorted with
+    its queries. A pair is left to the first list, by value, that holds both."""
+    similarity = percent / 100
     need = _fewest(similarity, k)
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        left = [r for r in rows if r[0]]
-        right = [r for r in rows if r[1]]
-        values = np.concatenate([r[4] for r in right])
-        owner = np.repeat(np.arange(len(right)), [len(r[4]) for r in right])
+    def shared(arrays: list[np.ndarray]):
+        """Counts, for a query's values, the common ones with each array."""
+        values = np.concatenate(arrays)
+        owner = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
-        roots, nodes = np.array([r[3] for r in right]), np.array([r[2] for r in right])
-        for _, _, node, root, sketch in left:
-            low, high = np.searchsorted(values, sketch), np.searchsorted(values, sketch, side="right")
+
+        def count(query: np.ndarray) -> np.ndarray:
+            low, high = np.searchsorted(values, query), np.searchsorted(values, query, side="right")
             spans = high - low
             at = np.repeat(low - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-            shared = np.bincount(owner[at], minlength=len(right))
-            least = need if len(sketch) == k else 1
-            for j in np.flatnonzero((roots != root) & (nodes != node) & (shared >= least)):
-                if _likely(*_estimates(sketch, right[j][4], k), k, similarity):
-                    yield (node, int(nodes[j])) if node > nodes[j] else (int(nodes[j]), node)
+            return np.bincount(owner[at], minlength=len(arrays))
+
+        return count
+
+    def may(n: int, common: int, others: np.ndarray, others_common: np.ndarray) -> np.ndarray:
+        most = np.minimum(common, others_common)
+        return 100 * most >= percent * (n + others - most)
+
+    def pairs(value: int, queries: list[tuple], members: list[tuple]) -> Iterator[tuple[int, int]]:
+        nodes, roots = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+        minor = np.array([m[2] for m in members])
+        retained = shared([m[3][:k] for m in members])
+        earlier = shared([m[4][m[4] < value] for m in members])
+        sizes, commons = np.array([m[5] for m in members]), np.array([m[6] for m in members])
+        for node, root, _, sketch, held, n, common in queries:
+            apart = (roots != root) & ~(minor & (nodes <= node)) & may(n, common, sizes, commons)
+            if not apart.any():
+                continue
+            apart &= retained(sketch[:k]) >= (need if len(sketch) >= k else 1)
+            if not apart.any():
+                continue
+            apart &= earlier(held[held < value]) == 0
+            for j in np.flatnonzero(apart).tolist():
+                if _likely(*_estimates(sketch, members[j][3], LARGE), LARGE, similarity):
+                    yield max(node, int(nodes[j])), min(node, int(nodes[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, queries, members = None, [], []
 
         def flush() -> pa.RecordBatch:
-            found = sorted(set(pairs(rows))) if len(rows) > 1 and any(r[1] for r in rows) else []
+            found = sorted(set(pairs(key[0], queries, members))) if queries and members else []
             return pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("value", "i", "j")), strict=True))
-            sides = [batch.column(c).to_pylist() for c in ("in_i", "in_j", "node", "root")]
-            lists = batch.column("sketch")
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for r, this in enumerate(keys):
-                if this != key:
-                    if rows:
+            plain = [batch.column(c).to_pylist() for c in ("value", "block", "is_query", "node", "root", "minor")]
+            arrays = []
+            for name in ("sketch", "held"):
+                lists = batch.column(name)
+                flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                arrays.append([flat[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            sizes = [batch.column(c).to_pylist() for c in ("n", "common")]
+            for value, block, is_query, *row in zip(*plain, *arrays, *sizes, strict=True):
+                if (value, block) != key:
+                    if key:
                         yield flush()
-                    key, rows = this, []
-                rows.append((*(s[r] for s in sides), flat[offsets[r] : offsets[r + 1]].copy()))
-        if rows:
+                    key, queries, members = (value, block), [], []
+                (queries if is_query else members).append(tuple(row))
+        if key:
             yield flush()
 
     return run
@@ -216,22 +245,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     )
-    # distinct texts can share an id where ids repeat; then either sketch stands for the id in estimates
-    nodes = classes.select("node", "sketch")
-
-    lists = cut(_inverted_lists(classes, similarity, k))
+    held = cut(_held(classes, similarity, k))
+    # the texts that may be compared; all texts are shuffled this once
+    store = cut(texts.join(held.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    held = held.join(_common(store, shingle), "node").where(F.col("common") * 100 >= F.col("n") * percent)
+    # where ids repeat, different texts may share a node; then each of them stands for it
+    held = cut(held.join(_large_sketches(store, shingle), "node"))
+
+    roots = classes.select("node", F.col("node").alias("root")).distinct()
     links = None
-    roots = nodes.select("node", F.col("node").alias("root")).distinct()
-    best = _estimate(_star_pairs(lists), nodes, k, similarity)
-    best = cut(best)
-    first = best.groupBy("a").agg(F.max_by("b", F.struct("rate", -F.col("b"))).alias("b"))
-    for candidates in (lambda r: first, lambda r: best.select("a", "b"), lambda r: _residual_pairs(lists, r, nodes, k, similarity)):
-        pairs = cut(_apart(candidates(roots), roots))
-        found = pairs.join(_text(texts, pairs, "a"), "a").join(_text(texts, pairs, "b"), "b").select("a", "b", "text_a", "text_b")
-        edges = found.mapInArrow(_verified(shingle, percent), "a long, b long")
+    for candidates in (_star_pairs, _residual_pairs):
+        pairs = cut(candidates(held, roots, k, percent))
+        both = pairs
+        for side in "ab":
+            both = both.join(store.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+        edges = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, percent), "a long, b long")
         links = cut(edges if links is None else links.union(edges))
         moved = components(links)
-        roots = cut(nodes.select("node").distinct().join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        roots = cut(classes.select("node").distinct().join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
     members = classes.join(roots, "node").select("set_key", "root")
     per_row = sketched.select("doc_id", "n_shingles", "set_key").join(members, "set_key", "left")
@@ -239,70 +270,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return per_row.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _text(texts: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    ids = pairs.select(F.col(side).alias("doc_id")).distinct()
-    return texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-
-
-def _inverted_lists(classes: DataFrame, similarity: float, k: int) -> DataFrame:
-    """(value, node) for the rarest retained values of each class that could reach the threshold."""
+def _held(classes: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(node, held, mass) of each class that could reach the threshold: its rarest retained values, as
+    many as needed, and how often all its retained values occur."""
     postings = classes.select("node", "n", F.explode("sketch").alias("value"))
-    shared = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    shared = postings.withColumn("df", F.count("*").over(Window.partitionBy("value"))).where("df > 1")
     # counts below the sketch size are few, so the needed overlap is a lookup
     table = F.array(*[F.lit(needed(n, similarity, k)) for n in range(1, k + 2)])
     need = F.element_at(table, F.least(F.col("n"), F.lit(k + 1)).cast("int"))
-    held = F.sort_array(F.collect_list(F.struct("df", "value")))
+    rarest = F.slice("all", F.lit(1), F.size("all") - need + 1)
     return (
-        postings.join(shared, "value")
-        .groupBy("node", "n")
-        .agg(held.alias("held"))
-        .where(F.size("held") >= need)
-        .select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - need + 1)).alias("item"))
-        .select("node", F.col("item.value").alias("value"))
-        .distinct()
+        shared.groupBy("node", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"), F.sum("df").alias("mass"))
+        .where(F.size("all") >= need)
+        .select("node", F.array_sort(F.transform(rarest, lambda x: F.shiftright(x.value, 32).cast("int"))).alias("held"), "mass")
     )
 
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each member of a list with the list's smallest member."""
-    centres = lists.groupBy("value").agg(F.min("node").alias("b"))
-    return lists.join(centres, "value").where("node > b").select(F.col("node").alias("a"), "b").distinct()
+def _common(store: DataFrame, size: int) -> DataFrame:
+    """(node, n, common): a document's shingles, and how many of them another one of `store` has too.
 
+    No pair shares more than the smaller `common` of its two, which bounds its likeness from above."""
 
-def _estimate(pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs that union sketches leave, with the estimated likeness."""
-    sides = [nodes.groupBy(F.col("node").alias(s)).agg(F.first("sketch").alias(f"sketch_{s}")) for s in "ab"]
-    found = pairs.join(sides[0], "a").join(sides[1], "b")
-    return found.mapInArrow(_estimated(k, similarity), "a long, b long, rate double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                sets = list(shingle_sets(part.column(1), size))
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.record_batch([part.column(0), values], names=["node", "values"])
 
+    rows = store.select("doc_id", "text").mapInArrow(run, "node long, values array<long>").select("node", F.explode("values").alias("value"))
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("value")))
+    return rows.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("df") > 1).alias("common"))
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The distinct pairs whose ends are in different components so far."""
-    ends = [roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"]
-    return pairs.join(ends[0], "a").join(ends[1], "b").where("root_a <> root_b").select("a", "b").distinct()
 
+def _large_sketches(store: DataFrame, size: int) -> DataFrame:
+    """(node, sketch): the upper halves of the LARGE smallest values of each document's set."""
 
-def _residual_pairs(lists: DataFrame, roots: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Likely pairs across components, from lists that span several, block by block."""
-    placed = lists.join(roots, "node")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [((v[:LARGE] ^ _SIGN).view(np.int64) >> 32).astype(np.int32) for v in shingle_sets(batch.column(1), size)]
+            ends = pa.array(np.cumsum([0, *map(len, kept)]), pa.int32())
+            flat = pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int32))
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["node", "sketch"])
+
+    return store.select("doc_id", "text").mapInArrow(run, "node long, sketch array<int>")
+
+
+def _star_pairs(held: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): each class with the likeliest centre among those of its lists. A list's centre is the
+    member whose values occur most: what others were copied from, rather than a copy."""
+    lists = held.select("node", "mass", F.explode("held").alias("value")).distinct()
+    centres = lists.groupBy("value").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("b"))
+    pairs = lists.join(centres, "value").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(held.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    likely = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimated(LARGE, percent / 100), "a long, b long, rate double")
+    return likely.groupBy("a").agg(F.max_by("b", F.struct("rate", -F.col("b"))).alias("b"))
+
+
+def _residual_pairs(held: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """Likely pairs across components, from lists that span several. The members of a list's largest
+    component are compared with the others only, which go to each block of the list as queries."""
+    lists = held.select("node", F.explode("held").alias("value")).distinct()
+    placed = lists.join(roots, "node").select("value", "node", "root")
     mixed = (
-        placed.groupBy("value")
-        .agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low < high")
-        .select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        placed.groupBy("value", "root").agg(F.count("*").alias("n"))
+        .groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max_by("root", F.struct("n", "root")).alias("major"))
+        .where("kinds > 1")
+        .select("value", "major", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    rows = placed.join(mixed, "value").select("value", "node", "root", "blocks", block.alias("block"))
-    pairing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("value", "node", "root", "block", pairing).select(
-        "value",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        (F.col("block") <= F.col("other")).alias("in_i"),
-        (F.col("block") >= F.col("other")).alias("in_j"),
-        "node",
-        "root",
+    rows = placed.join(mixed, "value").select("value", "node", "root", "blocks", (F.col("root") != F.col("major")).alias("minor"), block.alias("block"))
+    own = rows.select("value", "block", F.lit(False).alias("is_query"), "node", "root", "minor")
+    queries = rows.where("minor").select(
+        "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "node", "root", "minor"
     )
-    one = nodes.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    rows = rows.join(one, "node").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-    return rows.select("value", "i", "j", "in_i", "in_j", "node", "root", "sketch").mapInArrow(_block_pairs(k, similarity), "a long, b long")
+    rows = own.union(queries).join(held.select("node", "sketch", "held", "n", "common"), "node")
+    rows = rows.select("value", "block", "is_query", "node", "root", "minor", "sketch", "held", "n", "common").repartition("value", "block").sortWithinPartitions("value", "block")
+    return rows.mapInArrow(_list_pairs(k, percent), "a long, b long").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewarden.llm import decontaminate, language_id, mixing, near_dedup, sharding
+from tablewarden.llm import decontaminate, fingerprints, language_id, mixing, near_dedup, sharding
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    return fingerprints.compared_with_edits(_table(spark, directory, "documents"))
+
+
 def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.report(_table(spark, directory, "documents"), shards=24)
 
@@ -42,5 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
 }
