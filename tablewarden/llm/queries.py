@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewarden.llm import decontaminate, fingerprints, language_id, mixing, near_dedup, sharding
+from tablewarden.llm import decontaminate, fingerprints, language_id, lm_scoring, mixing, near_dedup, sharding
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op7_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents")
+    held_out = language_id.held_out("doc_id", fold=1)
+    model = lm_scoring.train(docs.where(~held_out).select("text"))
+    found = lm_scoring.scored(docs.select("doc_id", "text"), model).select("row.doc_id", "n_tokens", "n_known", "base_score", "score")
+    return found.select("*", held_out.alias("held_out"), F.lit(model.tokens).cast("long").alias("train_tokens"))
+
+
 def op9_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     return fingerprints.compared_with_edits(_table(spark, directory, "documents"))
 
@@ -46,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
 }
