@@ -61,7 +61,24 @@ hits AS (
 )"""
 
 
+_TWICE = "</s>[INST] ok [/INST]"
+_ESCAPED = " + ".join(
+    f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in ("\\", "<|", "|>", "<s>", "</s>", "[INST]", "[/INST]")
+)
+_CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, 'rows' AS mapping FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_TWICE}', 'prompt' UNION ALL SELECT -1, 1, 'assistant', '{_TWICE}', 'prompt'
+)
+SELECT conv_id, any_value(mapping) AS mapping, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(8 + length(role) + {_ESCAPED.format("role")} + length(text) + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
 ORACLES: dict[str, str] = {
+    "op2_chat_formatting": _CHAT,
     "op3_near_duplicates": "WITH RECURSIVE"
     + near_duplicates(4, 80)
     + "\nSELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
