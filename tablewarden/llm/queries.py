@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewarden.llm import chat, decontaminate, fingerprints, language_id, lm_scoring, mixing, near_dedup, sharding
+from tablewarden.llm import chat, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    return quality.classified(docs).select("row.doc_id", "posterior", "score", "kept")
+
+
 def op2_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
     """All conversations, and conversation -1 of another layout whose texts hold control strings."""
     records = chat.from_rows(_table(spark, directory, "conversations"))
@@ -29,6 +34,11 @@ def op4_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.report(_table(spark, directory, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op5_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    docs = _table(spark, directory, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs).select("row.doc_id", F.col("clean").alias("text"), "n_removed", "removed", "partners")
+
+
 def op6_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = decontaminate.report(_table(spark, directory, "documents"), _table(spark, directory, "benchmark"), n=10)
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
@@ -58,9 +68,11 @@ def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_lm_scoring": op8_lm_scoring,
