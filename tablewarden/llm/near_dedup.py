@@ -68,7 +68,7 @@ def needed(n: int, similarity: float, k: int) -> int:
     if n * similarity <= 1e-9 + k * similarity**2:
         return max(1, exact)
     if n <= k:
-        return max(1, min(exact, k - floor((1 - similarity) * n / similarity)))
+        return max(1, min(exact, k - floor((1 - similarity) * n / similarity + 1e-9)))
     return _fewest(similarity, k)
 
 
