@@ -49,15 +49,16 @@ def _packed(docs: DataFrame, text_col: str) -> DataFrame:
 def _by_hash_set(packed: DataFrame, known: list) -> DataFrame:
     found = ["array()"]
     for length in sorted({k.length for k in known}):
-        own = [k.window for k in known if k.length == length]
         ends = ", ".join(sorted({f"{k.ends}L" for k in known if k.length == length}))
-        whole = ", ".join(f"'{w}'" for w in own)
+        whole = ", ".join(f"'{k.window}'" for k in known if k.length == length)
         found.append(
-            f"""IF(size(words) >= {length}, transform(filter(sequence(0, size(words) - {length}), i ->
-              xxhash64(words[i], words[i + {length - 1}]) IN ({ends}) AND concat_ws(' ', slice(words, i + 1, {length})) IN ({whole})),
+            f"""IF(size(w) >= {length}, transform(filter(sequence(0, size(w) - {length}), i ->
+              xxhash64(w[i], w[i + {length - 1}]) IN ({ends}) AND concat_ws(' ', slice(w, i + 1, {length})) IN ({whole})),
               i -> struct(i AS begin, {length} AS length)), array())"""
         )
-    return packed.select("row", "words", F.expr(f"CAST(concat({', '.join(found)}) AS array<struct<begin: int, length: int>>)").alias("spans"))
+    # the words are a variable of the expression: wherever a filter on it is pushed, they are cut once per row
+    spans = f"get(transform(array(words), w -> CAST(concat({', '.join(found)}) AS array<struct<begin: int, length: int>>)), 0)"
+    return packed.select("row", "words", F.expr(spans).alias("spans"))
 
 
 def _by_join(packed: DataFrame, known: DataFrame, n: int) -> DataFrame:
