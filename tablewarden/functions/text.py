@@ -103,12 +103,13 @@ def localized(english: Column, portuguese: Column, language: Column) -> Column:
 
 
 def sql_text(text: Column) -> Column:
-    """Single-quoted SQL literal."""
-    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+    """Single-quoted SQL literal that reads back as the same text, whatever the text holds."""
+    safe = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
+    return F.concat(F.lit("'"), safe, F.lit("'"))
 
 
 def quoted_name(*parts: Column) -> Column:
-    return F.concat_ws(".", *[F.concat(F.lit("`"), p, F.lit("`")) for p in parts])
+    return F.concat_ws(".", *[F.concat(F.lit("`"), F.replace(p, F.lit("`"), F.lit("``")), F.lit("`")) for p in parts])
 
 
 def markdown_cell(text: Column) -> Column:

@@ -169,11 +169,12 @@ def castable_share(table: TableSource, columns: list[str]) -> DataFrame:
     """How much of each text column reads as a number, a date or a timestamp, in one pass.
 
     A column is mistyped when every non-null value reads as one of them; numbers are tried
-    first, then dates, then timestamps.
+    first, then dates (texts that are a date and nothing more), then timestamps.
     """
     stats = ", ".join(
         f"named_struct('column_name', {literal(c)}, 'non_null', count({quoted(c)}), "
-        f"'as_double', count(try_cast({quoted(c)} AS DOUBLE)), 'as_date', count(try_cast({quoted(c)} AS DATE)), "
+        f"'as_double', count(try_cast({quoted(c)} AS DOUBLE)), "
+        f"'as_date', count_if(CAST(try_cast({quoted(c)} AS DATE) AS STRING) = trim({quoted(c)})), "
         f"'as_timestamp', count(try_cast({quoted(c)} AS TIMESTAMP_NTZ)))"
         for c in columns
     )
@@ -184,7 +185,7 @@ def castable_share(table: TableSource, columns: list[str]) -> DataFrame:
             *_key(table),
             "*",
             "CASE WHEN non_null = 0 THEN 'string' WHEN as_double = non_null THEN 'double' "
-            "WHEN as_date = non_null AND as_timestamp = non_null THEN 'date' "
+            "WHEN as_date = non_null THEN 'date' "
             "WHEN as_timestamp = non_null THEN 'timestamp' ELSE 'string' END AS inferred_type",
         )
         .selectExpr("*", "inferred_type != 'string' AS type_looks_wrong")

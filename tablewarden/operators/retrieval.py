@@ -1,12 +1,13 @@
 """Documentation retrieval: Markdown chunks, TF-IDF scores, context packing.
 
-Chunks are (system, chunk_id, heading, body); queries are (query_id, system, terms), where
-terms is the distinct vocabulary of a table. Chunk text is shuffled once, by chunk, before
-it is exploded into terms; the term counts then need no exchange of their own. Scores join
-postings to query terms on (system, term), a plain equi-join that adaptive execution splits
-when one pair is hot, and are summed before the ranking. Ranks keep six rows per query on
-each task before the window's exchange (WindowGroupLimit), so no query's candidates gather in
-one task.
+Chunks are (system, chunk_id, heading, body), with ids that are unique within a system; queries
+are (query_id, system, terms), where terms is the distinct vocabulary of a table. A chunk is one
+row, so it is cut into terms where it was read: text is never shuffled for scoring, only counts
+are, and words that no query asks for are dropped before they are counted. Scores join postings
+to query terms on (system, term), a plain equi-join that adaptive execution splits when one pair
+is hot, and are summed before the ranking. Ranks keep six rows per query on each task before the
+window's exchange (WindowGroupLimit), so no query's candidates gather in one task. Nothing is
+hinted: sides are broadcast where their size is known to be small.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.generate import explode_once
-from ..functions.sizing import broadcast_if, is_small
 from ..functions.text import citation, markdown_sections, passage, tokenize
 from ..sources.documents import system_for
 from .profile import TABLE_KEY
@@ -48,13 +48,15 @@ def chunk_tokens() -> Column:
     return tokenize(F.concat_ws(" ", "heading", "body"))
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """Term counts: (system, chunk_id, length, term, tf)."""
-    tokens = chunks.repartition("chunk_id").select("system", "chunk_id", chunk_tokens().alias("tokens"))
+def chunk_terms(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Term counts: (system, chunk_id, length, term, tf), of all terms or of the `wanted` ones."""
+    tokens = chunks.select("system", "chunk_id", chunk_tokens().alias("tokens"))
     length = F.greatest(F.size("tokens"), F.lit(1)).alias("length")
+    rows = explode_once(tokens, F.col("tokens"), "term", "system", "chunk_id", length)
+    if wanted is not None:
+        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
     return (
-        explode_once(tokens, F.col("tokens"), "term", "system", "chunk_id", length)
-        .groupBy("system", "chunk_id", "length", "term")
+        rows.groupBy("system", "chunk_id", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -105,21 +107,20 @@ def rank_chunks(queries: DataFrame, chunks: DataFrame, terms: DataFrame | None =
     Pass stored `terms` to skip tokenizing. Scores are compared at six decimals, so that
     equal chunks tie however their sums were ordered, and ties keep chunk order.
     """
-    terms = chunk_terms(chunks) if terms is None else terms
     wanted = explode_once(queries, F.array_distinct("terms"), "term", "query_id", "system")
-    # With few query terms nothing but their frequencies is shuffled after chunk_terms: the
-    # postings stay where their chunk is, and sums per (query, chunk) are local.
-    small = is_small(wanted)
-    postings = terms.join(broadcast_if(small, wanted.select("term").distinct()), "term", "left_semi")
+    if terms is None:
+        postings = chunk_terms(chunks, wanted)
+    else:
+        postings = terms.join(wanted.select("term").distinct(), "term", "left_semi")
     weights = document_frequency(postings, chunks).select("term", "idf")
     order = Window.partitionBy("query_id").orderBy(F.col("sort_score").desc(), "chunk_id")
     return (
-        postings.join(broadcast_if(small, wanted.join(weights, "term")), ["system", "term"])
+        postings.join(wanted.join(weights, "term"), ["system", "term"])
         .groupBy("query_id", "system", "chunk_id", "length")
         .agg(F.sum(F.col("idf") * F.col("tf")).alias("weight"))
         .withColumn("score", F.col("weight") / F.sqrt("length"))
-        .where(F.col("score") >= MIN_SCORE)
         .withColumn("sort_score", F.round("score", 6))
+        .where(F.col("sort_score") >= MIN_SCORE)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= TOP_CHUNKS)
         .select("query_id", "system", "chunk_id", "score", "rank")
@@ -135,7 +136,7 @@ def pack_context(ranked: DataFrame, chunks: DataFrame, queries: DataFrame) -> Da
     """
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     blocks = (
-        ranked.join(chunks.drop("system"), "chunk_id")
+        ranked.join(chunks, ["system", "chunk_id"])
         .join(queries.select("query_id", "terms"), "query_id")
         .withColumn("block", passage(F.col("heading"), F.col("body")))
         .withColumn("used", F.sum(F.length("block")).over(running))

@@ -32,14 +32,14 @@ def writing_run(runs: DataFrame, keys: list[str]) -> DataFrame:
 def diff(grounded: DataFrame, plain: DataFrame, schema: str | None = None) -> DataFrame:
     """Descriptions with and without documentation, for every column of the grounded run.
 
-    `changed` needs both sides. `grounded_in` is the citation list of the table's first
-    column that has one.
+    Both sides are suggestions as `suggest.ingest` stores them. `changed` needs both.
+    `grounded_in` joins the citations of the table's first column that has any.
     """
     key = [*TABLE_KEY, "column_name"]
     if schema is not None:
         grounded, plain = (side.where(F.col("table_schema") == schema) for side in (grounded, plain))
     cited = (
-        grounded.where(is_filled(F.col("doc_citations")))
+        grounded.where(F.size("doc_citations") > 0)
         .groupBy(*TABLE_KEY)
         .agg(F.min_by("doc_citations", "column_name").alias("grounded_in"))
     )
@@ -57,11 +57,26 @@ def diff(grounded: DataFrame, plain: DataFrame, schema: str | None = None) -> Da
             markdown_cell(F.col("without_docs")).alias("without_docs"),
             markdown_cell(F.col("with_docs")).alias("with_docs"),
             (F.coalesce("in_plain", F.lit(False)) & (text("with_docs") != text("without_docs"))).alias("changed"),
-            "grounded_in",
+            F.array_join("grounded_in", "; ").alias("grounded_in"),
         )
     )
 
 
+def counters(suggestions: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
+    """What a run did: tables processed and grounded, columns documented, comments staged.
+
+    `statements` are those of `suggest.comment_statements`; staged are the ones of writable tables.
+    """
+    table = F.struct(*TABLE_KEY)
+    done = suggestions.groupBy(*keys).agg(
+        F.count_distinct(table).alias("tables_processed"),
+        F.count_distinct(F.when(F.col("doc_system").isNotNull(), table)).alias("tables_grounded"),
+        F.count_if(is_filled(F.col("suggested_comment"))).alias("columns_documented"),
+    )
+    staged = statements.where("is_writable").groupBy(*keys).agg(F.count(F.lit(1)).alias("comments_staged"))
+    return done.join(staged, keys, "left").withColumn("comments_staged", F.coalesce("comments_staged", F.lit(0)))
+
+
 def price(text: Column) -> Column:
     """Price per million tokens from configuration text; blank or bad text is no price."""
     return text.try_cast("double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import DESCRIPTION_CHARS, is_filled, quoted_name, split_packed, sql_text, strip
+from ..functions.text import DESCRIPTION_CHARS, is_filled, quoted_name, sql_text, strip
 from .profile import TABLE_KEY
 
 # Layout of prompts and responses.
@@ -214,12 +214,16 @@ def pii_comparison(profile: DataFrame, suggestions: DataFrame) -> DataFrame:
 
 
 def provenance(suggestions: DataFrame) -> DataFrame:
-    """Documentation each table was grounded in, from packed citation strings."""
+    """Documentation each table was grounded in, one row per table, from stored suggestions.
+
+    The passages are those of the table's first column that cites any; none if no column does.
+    """
+    citing = F.when(F.size("doc_citations") > 0, F.col("column_name"))
     return (
         suggestions.where(F.col("doc_system").isNotNull())
-        .select(*TABLE_KEY, "doc_system", "doc_citations")
-        .distinct()
-        .select(*TABLE_KEY, "doc_system", split_packed(F.col("doc_citations")).alias("passages"))
+        .groupBy(*TABLE_KEY)
+        .agg(F.min("doc_system").alias("doc_system"), F.min_by("doc_citations", citing).alias("passages"))
+        .withColumn("passages", F.coalesce("passages", F.array().cast("array<string>")))
     )
 
 

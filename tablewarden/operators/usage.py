@@ -23,8 +23,9 @@ MARKER = "tablewarden-scan"
 LOOK_BACK_DAYS = 365
 ORPHAN_DAYS = 90
 
-# A dotted name of two or three parts, each optionally back-quoted.
-_PART = r"(?:`[^`]+`|[A-Za-z0-9_]+)"
+# A dotted name of two or three parts, each optionally back-quoted. A bare part holds a letter
+# or an underscore, so decimal numbers are no names.
+_PART = r"(?:`[^`]+`|[A-Za-z0-9_]*[A-Za-z_][A-Za-z0-9_]*)"
 _DOTTED_NAME = rf"{_PART}(?:\s*\.\s*{_PART}){{1,2}}"
 
 
@@ -34,7 +35,7 @@ def marked(statement: str) -> str:
 
 
 def foreign_reads(log: DataFrame, asof: datetime, mentions: list[str]) -> DataFrame:
-    """SELECTs of the look-back window that mention a catalog and are not the audit's own.
+    """SELECTs of the look-back window, up to `asof`, that mention a catalog and are not the audit's own.
 
     Time and type filters reach the scan. Mentions are literal and ignore case.
     """
@@ -45,6 +46,7 @@ def foreign_reads(log: DataFrame, asof: datetime, mentions: list[str]) -> DataFr
         about = about | text.contains(catalog.lower())
     return log.where(
         (F.col("start_time") >= since)
+        & (F.col("start_time") <= moment(asof))
         & (F.col("statement_type") == "SELECT")
         & about
         & ~text.contains(MARKER)
@@ -56,11 +58,16 @@ def _latest(named_reads: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def latest_by_name(reads: DataFrame) -> DataFrame:
-    """Latest time per distinct dotted name found in the statements."""
-    names = F.transform(
+    """Latest time per distinct dotted name found in the statements.
+
+    A name of three parts may be a table's in a catalog or a column's of a table, so its first two
+    parts count as well.
+    """
+    found = F.transform(
         F.regexp_extract_all("statement_text", F.lit(_DOTTED_NAME), F.lit(0)),
-        lambda n: F.regexp_replace(n, r"[`\s]", ""),
+        lambda n: F.replace(F.regexp_replace(n, r"\s*\.\s*", "."), F.lit("`"), F.lit("")),
     )
+    names = F.concat(found, F.transform(found, lambda n: F.substring_index(n, ".", 2)))
     return _latest(
         explode_once(reads, F.array_distinct(names), "mentioned_name", "start_time"),
         ["mentioned_name"],
@@ -92,10 +99,15 @@ def last_read_by_substring(reads: DataFrame, tables: DataFrame) -> DataFrame:
     So a read of `orders_v2` also counts for `orders`. A name of this form contains exactly
     one dot (catalogs allow neither dots nor blanks inside a name). It occurs in a text iff
     at some dot the text to the left ends with the schema and the text to the right starts
-    with the table name. Each dot therefore yields its two neighbouring runs; distinct pairs
-    of runs are few. Right runs expand to their prefixes of the lengths that table names
-    have, which turns containment into an equi-join with a suffix check on the schema.
+    with the table name. Each dot therefore yields its two neighbouring runs, reduced to the
+    latest time of each distinct pair. Right runs expand to their prefixes of the lengths that
+    table names have, and those that are a table's name to the suffixes of left runs of the lengths
+    that schemas have; containment is then an equi-join on (schema, table).
     """
+    registered = tables.select(F.lower("table_name").alias("wanted_name"), F.lower("table_schema").alias("wanted_schema"))
+    name_lengths, schema_lengths = (
+        registered.agg(F.array_sort(F.collect_set(F.length(c)))).scalar() for c in ("wanted_name", "wanted_schema")
+    )
     parts = F.split(F.replace(F.col("statement_text"), F.lit("`"), F.lit("")), r"\.")
     around_dots = F.transform(
         F.sequence(F.lit(1), F.size("parts") - 1),
@@ -110,22 +122,20 @@ def last_read_by_substring(reads: DataFrame, tables: DataFrame) -> DataFrame:
         .select("start_time", F.inline_outer(F.array_distinct(around_dots))),
         ["left_run", "right_run"],
     )
+    dots = dots.withColumns({"name_lengths": name_lengths, "schema_lengths": schema_lengths})
     starts = F.transform(
-        F.sequence(F.lit(1), F.length("right_run")), lambda n: F.left(F.col("right_run"), n)
-    )
-    prefixes = explode_once(
-        dots.where(F.length("right_run") > 0), starts, "wanted_name",
-        "left_run", F.col("last_read_at").alias("start_time"),
+        F.filter("name_lengths", lambda n: n <= F.length("right_run")), lambda n: F.left(F.col("right_run"), n)
     )
-    wanted = tables.select(
-        *TABLE_KEY,
-        F.lower("table_name").alias("wanted_name"),
-        F.lower("table_schema").alias("wanted_schema"),
+    ends = F.transform(
+        F.filter("schema_lengths", lambda n: n <= F.length("left_run")), lambda n: F.right(F.col("left_run"), n)
     )
-    # The prefixes of a hot name are few rows after the reduction above; a table name shared
-    # by very many schemas is split by adaptive execution like any skewed equi-join key.
+    named = explode_once(
+        dots, starts, "wanted_name", "left_run", "schema_lengths", F.col("last_read_at").alias("start_time")
+    ).join(registered.select("wanted_name").distinct(), "wanted_name", "left_semi")
+    named = _latest(explode_once(named, ends, "wanted_schema", "wanted_name", "start_time"), ["wanted_schema", "wanted_name"])
     return _latest(
-        prefixes.join(wanted, "wanted_name").where(F.col("left_run").endswith(F.col("wanted_schema"))),
+        tables.withColumns({"wanted_name": F.lower("table_name"), "wanted_schema": F.lower("table_schema")})
+        .join(named.withColumnRenamed("last_read_at", "start_time"), ["wanted_schema", "wanted_name"]),
         TABLE_KEY,
     )
 
@@ -153,7 +163,8 @@ def last_read_label() -> Column:
 
 
 def recent_activity(rows: DataFrame, time_column: str, asof: datetime, days: int = 7) -> DataFrame:
-    """Rows at or after `asof` minus a number of days; the bound is pushed to the scan."""
+    """Rows of the days up to `asof`; both bounds are pushed to the scan."""
     return rows.where(
-        F.col(time_column) >= moment(asof) - F.expr(f"INTERVAL {days} DAYS")
+        (F.col(time_column) >= moment(asof) - F.expr(f"INTERVAL {days} DAYS"))
+        & (F.col(time_column) <= moment(asof))
     )

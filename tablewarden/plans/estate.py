@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.moments import moment, whole_days_between
 from ..functions.pii import classify_by_name, sample_text
-from ..functions.text import is_filled
+from ..functions.text import is_filled, split_packed
 from ..operators.profile import TABLE_KEY
 from ..operators.usage import MARKER
 from ..sources.documents import system_for
@@ -182,7 +182,7 @@ def responses(spark: SparkSession, directory: str) -> DataFrame:
         model_label(), F.col("line_hi") == 7, F.col("line_lo") <= 2,
     )
     ghost = answer(F.lit("ghost"), F.lit("Not in this table"), nothing, F.lit("email"), no, no)
-    text = F.when(F.col("p_size") <= 30, F.concat(F.lit(" All "), F.col("p_name"), F.lit("s "))).otherwise("")
+    text = F.when(F.col("p_size") <= 30, F.concat(F.lit(" All "), F.col("p_name"), F.lit("s \\ 'x' "))).otherwise("")
     return (
         columns(spark, directory)
         .groupBy(*TABLE_KEY, text.alias("table_description"))
@@ -215,7 +215,7 @@ def grounding(tables: DataFrame) -> DataFrame:
 
 
 def suggestions(spark: SparkSession, directory: str) -> DataFrame:
-    """Stored suggestions with packed citations, as display rows carry them."""
+    """Suggestions as they are stored; the packed citations of display rows are split here."""
     system = system_for(F.concat_ws(".", "table_schema", "table_name"), MAPPING)
     cited = F.concat(
         F.col("doc_system"), F.lit(": "), F.col("p_brand"), F.lit(";  ; "), F.col("doc_system"), F.lit(": "), F.col("p_name")
@@ -223,7 +223,7 @@ def suggestions(spark: SparkSession, directory: str) -> DataFrame:
     return (
         columns(spark, directory)
         .withColumn("doc_system", system)
-        .withColumn("doc_citations", F.when(F.col("line_lo") <= 2, cited))
+        .withColumn("doc_citations", F.when(F.col("line_lo") <= 2, split_packed(cited)))
         .withColumn("suggested_comment", described())
         .withColumn("suggested_comment_pt", F.when(F.col("line_lo") >= 3, F.concat(F.lit("Coluna "), F.col("column_name"))))
         .withColumn("pii_by_llm", model_label())

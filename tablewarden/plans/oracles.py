@@ -332,7 +332,7 @@ wanted AS (SELECT query_id, system, unnest(terms) AS term FROM query),
 scored AS (
   SELECT query_id, tf.system, chunk_id, sum(idf * tf) / sqrt(any_value(length)) AS score
   FROM tf JOIN wanted USING (system, term) JOIN freq USING (term)
-  GROUP BY 1, 2, 3 HAVING sum(idf * tf) / sqrt(any_value(length)) >= 0.5),
+  GROUP BY 1, 2, 3 HAVING round(sum(idf * tf) / sqrt(any_value(length)), 6) >= 0.5),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank
   FROM scored QUALIFY rank <= 6)"""
@@ -351,7 +351,8 @@ _ESTATE_LOG = """reads AS (
       THEN '`' || table_catalog || '`.`' || table_schema || '`.`' || table_name || '`'
       ELSE upper(table_schema || '.' || table_name) END || ' x where x.used > ' || l_linenumber), '`', '') AS txt
   FROM lineitem JOIN registry ON p_partkey = l_partkey
-  WHERE p_size < 46 AND l_returnflag <> 'N' AND l_shipdate >= TIMESTAMP '2001-11-10' - INTERVAL 365 DAYS)"""
+  WHERE p_size < 46 AND l_returnflag <> 'N' AND l_shipdate >= TIMESTAMP '2001-11-10' - INTERVAL 365 DAYS
+    AND l_shipdate <= TIMESTAMP '2001-11-10')"""
 
 _SEARCH_TERMS = (
     "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_\\x{{00C0}}-\\x{{017F}}]+'), "
@@ -407,6 +408,13 @@ ORACLES["approx_distinct"] = (
     )
     + ")"
 )
+TEXT_COLUMNS = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"],
+    "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"],
+    "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"],
+    "conversations": ["role", "text"],
+}
 _LAKE_NAMES = ", ".join(_quote(n) for n in ALL_TABLES)
 ORACLES["lake_health"] = f"""WITH {CONTACTS}, {LEGACY}, {_LAKE_LOG},
 seen AS (SELECT n, max(ts) AS r FROM (SELECT unnest([{_LAKE_NAMES}]) AS n) LEFT JOIN log ON t = n GROUP BY 1),
@@ -474,14 +482,18 @@ ORACLES["redacted_samples"] = f"WITH {CONTACTS} " + "\nUNION ALL ".join(
         _samples("contacts", "c_custkey", ["contact", "line_no", "document_no", "nickname"], {"contact", "line_no", "document_no"}),
     ]
 )
+_DATE_FORM = "count(*) FILTER (CAST(TRY_CAST(v AS DATE) AS VARCHAR) = trim(v))"
 ORACLES["type_mismatch"] = "\nUNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{n}' AS column_name, count(v) AS non_null, count(TRY_CAST(v AS DOUBLE)) AS as_double, "
-    f"count(TRY_CAST(v AS TIMESTAMP)) AS as_timestamp, CASE WHEN count(TRY_CAST(v AS DOUBLE)) = count(v) THEN 'double' "
-    f"WHEN count(TRY_CAST(v AS TIMESTAMP)) = count(v) THEN 'timestamp' ELSE 'string' END AS inferred_type, "
-    f"count(TRY_CAST(v AS DOUBLE)) = count(v) OR count(TRY_CAST(v AS TIMESTAMP)) = count(v) AS type_looks_wrong "
-    f"FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {t})"
-    for t, n, c in [
-        ("lineitem", "price_text", "l_extendedprice"), ("orders", "date_text", "o_orderdate"), ("customer", "name_text", "c_name"),
+    f"SELECT *, inferred_type <> 'string' AS type_looks_wrong FROM (SELECT '{t}' AS table_name, '{n}' AS column_name, count(v) AS non_null, "
+    f"count(TRY_CAST(v AS DOUBLE)) AS as_double, {_DATE_FORM} AS as_date, count(TRY_CAST(v AS TIMESTAMP)) AS as_timestamp, "
+    f"CASE WHEN count(v) = 0 THEN 'string' WHEN count(TRY_CAST(v AS DOUBLE)) = count(v) THEN 'double' WHEN {_DATE_FORM} = count(v) THEN 'date' "
+    f"WHEN count(TRY_CAST(v AS TIMESTAMP)) = count(v) THEN 'timestamp' ELSE 'string' END AS inferred_type "
+    f"FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {source}))"
+    for t, n, c, source in [
+        *[(table, name, name, table) for table, names in TEXT_COLUMNS.items() for name in names],
+        ("price_text", "price_text", "l_extendedprice", "lineitem"),
+        ("date_text", "date_text", "CAST(o_orderdate AS DATE)", "orders"),
+        ("time_text", "time_text", "ts", "events"),
     ]
 )
 ORACLES["dead_columns"] = (
@@ -502,7 +514,8 @@ ORACLES["orphan_tables"] = (
 )
 ORACLES["estate_last_read"] = _estate(
     "SELECT table_catalog, table_schema, table_name, max(l_shipdate) AS last_read_at FROM tables JOIN lineitem ON l_partkey = p_partkey "
-    "WHERE p_size < 46 AND l_returnflag <> 'N' AND l_shipdate >= TIMESTAMP '2001-11-10' - INTERVAL 365 DAYS GROUP BY ALL"
+    "WHERE p_size < 46 AND l_returnflag <> 'N' AND l_shipdate >= TIMESTAMP '2001-11-10' - INTERVAL 365 DAYS "
+    "AND l_shipdate <= TIMESTAMP '2001-11-10' GROUP BY ALL"
 )
 ORACLES["estate_last_read_substring"] = _estate(
     "SELECT table_catalog, table_schema, table_name, max(start_time) AS last_read_at FROM tables JOIN reads "
@@ -510,7 +523,7 @@ ORACLES["estate_last_read_substring"] = _estate(
     _ESTATE_LOG,
 )
 ORACLES["recent_activity"] = (
-    "SELECT event_type, count(*) AS events FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAYS GROUP BY 1"
+    "SELECT event_type, count(*) AS events FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAYS AND ts <= TIMESTAMP '2024-01-30' GROUP BY 1"
 )
 ORACLES["findings_summary"] = _estate(
     "\nUNION ALL ".join(
@@ -633,7 +646,7 @@ ORACLES["suggestion_ingest"] = _estate(
 )
 ORACLES["table_descriptions"] = _estate(
     "SELECT table_catalog, table_schema, table_name, CASE WHEN p_size <= 30 AND table_key IN (SELECT table_key FROM columns_) "
-    "THEN ' All ' || p_name || 's ' END AS description, CAST(NULL AS VARCHAR) AS description_pt, is_writable AS applied FROM tables"
+    "THEN ' All ' || p_name || 's \\ ''x'' ' END AS description, CAST(NULL AS VARCHAR) AS description_pt, is_writable AS applied FROM tables"
 )
 ORACLES["pii_agreement"] = _estate(
     f"SELECT table_catalog, {_SAID} AS pii_agreement, count(*) AS columns, count(*) FILTER (WHERE is_pii_candidate) AS withheld "
@@ -656,14 +669,14 @@ ORACLES["portal_columns"] = _estate(
 )
 _FQN = "'`' || table_catalog || '`.`' || table_schema || '`.`' || table_name || '`'"
 ORACLES["comment_statements"] = _estate(
-    f"SELECT table_catalog, table_schema, table_name, 'COMMENT ON TABLE ' || {_FQN} || ' IS ''All ' || p_name || 's''' AS statement, is_writable "
+    f"SELECT table_catalog, table_schema, table_name, 'COMMENT ON TABLE ' || {_FQN} || ' IS ''All ' || p_name || 's \\\\ ''''x''''''' AS statement, is_writable "
     "FROM tables WHERE NOT has_comment AND p_size <= 30 AND table_key IN (SELECT table_key FROM columns_) UNION ALL "
     f"SELECT table_catalog, table_schema, table_name, 'ALTER TABLE ' || {_FQN} || ' ALTER COLUMN `' || column_name || '` COMMENT ''' || "
     "replace(described, '''', '''''') || '''', is_writable FROM columns_ WHERE NOT has_comment AND described <> ''"
 )
 ORACLES["provenance"] = _estate(
-    "SELECT DISTINCT table_catalog, table_schema, table_name, system AS doc_system, system || ': ' || p_brand || ' | ' || system || ': ' || p_name "
-    "AS passages FROM columns_ WHERE system IS NOT NULL AND packed IS NOT NULL"
+    "SELECT table_catalog, table_schema, table_name, any_value(system) AS doc_system, CASE WHEN count(packed) = 0 THEN '' ELSE "
+    "any_value(system || ': ' || p_brand || ' | ' || system || ': ' || p_name) END AS passages FROM columns_ WHERE system IS NOT NULL GROUP BY ALL"
 )
 ORACLES["doc_usage"] = _estate(
     f"""SELECT doc_id, title, coalesce(tables, 0) AS tables FROM (
@@ -676,7 +689,7 @@ ORACLES["latest_run"] = (
     "SELECT event_type AS store, ts AS started_at, event_id AS run_id, CAST(r - 1 AS INTEGER) AS back FROM ("
     "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS r FROM events) WHERE r <= 2"
 )
-_DIFF = """cited AS (SELECT table_key, arg_min(packed, column_name) AS grounded_in FROM columns_ WHERE packed <> '' GROUP BY 1),
+_DIFF = """cited AS (SELECT table_key, replace(arg_min(packed, column_name), ';  ; ', '; ') AS grounded_in FROM columns_ WHERE packed <> '' GROUP BY 1),
 compared AS (
   SELECT c.table_catalog, c.table_schema, c.table_name, c.column_name,
     CASE WHEN line_hi >= 6 THEN '-' WHEN line_lo = 1 THEN 'plain \\| text' ELSE ' ' || described END AS without_docs,
@@ -685,8 +698,10 @@ compared AS (
   FROM columns_ c LEFT JOIN cited USING (table_key))"""
 ORACLES["run_diff"] = _estate("SELECT * FROM compared", _DIFF)
 ORACLES["run_counters"] = _estate(
-    "SELECT table_catalog, count(*) AS columns, count(*) FILTER (WHERE changed) AS changed, count(grounded_in) AS in_grounded_tables FROM compared GROUP BY 1",
-    _DIFF,
+    "SELECT table_catalog, count(DISTINCT table_key) AS tables_processed, count(DISTINCT table_key) FILTER (WHERE system IS NOT NULL) AS tables_grounded, "
+    "count(*) FILTER (WHERE described <> '') AS columns_documented, CAST(count(*) FILTER (WHERE described <> '' AND NOT has_comment AND is_writable) "
+    "+ (SELECT count(*) FROM tables t WHERE t.table_catalog = c.table_catalog AND NOT has_comment AND is_writable AND p_size <= 30 "
+    "AND table_key IN (SELECT table_key FROM columns_)) AS BIGINT) AS comments_staged FROM columns_ c GROUP BY 1"
 )
 ORACLES["before_after_score"] = _estate(
     "SELECT k AS catalog, CASE WHEN k <> 'promo' THEN CAST(round_even(b.overall * 100, 0) AS INTEGER) END AS before_score, "

@@ -184,21 +184,21 @@ def redacted_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    """Text copies of a price, a date and a name: what do their values read as?"""
-    frames = [
-        ("lineitem", F.col("l_extendedprice").cast("string").alias("price_text")),
-        ("orders", F.col("o_orderdate").cast("string").alias("date_text")),
-        ("customer", F.col("c_name").alias("name_text")),
+    """What the values of every text column of the lake read as, and of text copies of a price, a
+    date, and a time."""
+    texts = [
+        ("price_text", "lineitem", F.col("l_extendedprice").cast("string")),
+        ("date_text", "orders", F.col("o_orderdate").cast("date").cast("string")),
+        ("time_text", "events", F.col("ts").cast("string")),
     ]
-    checks = []
-    for name, column in frames:
-        data = read(spark, d, name).select(column)
-        source = registry.TableSource(lake.CATALOG, "raw", name, data)
-        checks.append(profiling.castable_share(source, data.columns))
-    return profiling.union_all(checks).select(
-        "table_name", "column_name", "non_null", "as_double", "as_timestamp", "type_looks_wrong",
-        F.when(F.col("inferred_type") == "date", "timestamp").otherwise(F.col("inferred_type")).alias("inferred_type"),
-    )
+    tables = lake.tables(spark, d)
+    tables += [registry.TableSource(lake.CATALOG, "raw", c, read(spark, d, t).select(v.alias(c))) for c, t, v in texts]
+    checks = [
+        profiling.castable_share(t, names)
+        for t in tables
+        if (names := [f.name for f in t.data.schema.fields if f.dataType.typeName() == "string"])
+    ]
+    return profiling.union_all(checks).drop(*TABLE_KEY[:2])
 
 
 def dead_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -268,10 +268,7 @@ def _overview(spark: SparkSession, d: str) -> DataFrame:
 
 def _portal(spark: SparkSession, d: str) -> DataFrame:
     said = estate.suggestions(spark, d)
-    tables = registry.tables_in_scope(estate.registry(spark, d))
-    return suggest.portal_columns(
-        estate.columns(spark, d), said, said, estate.grounding(tables).withColumnRenamed("system", "doc_system")
-    )
+    return suggest.portal_columns(estate.columns(spark, d), said, said, suggest.provenance(said))
 
 
 def findings_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -480,9 +477,8 @@ def comment_statements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def provenance(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        suggest.provenance(estate.suggestions(spark, d).where(F.col("doc_citations").isNotNull()))
-        .select(*TABLE_KEY, "doc_system", F.array_join("passages", " | ").alias("passages"))
+    return suggest.provenance(estate.suggestions(spark, d)).select(
+        *TABLE_KEY, "doc_system", F.array_join("passages", " | ").alias("passages")
     )
 
 
@@ -521,12 +517,12 @@ def run_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Tables grounded, columns compared and descriptions changed per catalog."""
-    return run_diff(spark, d).groupBy(*CATALOG_KEY).agg(
-        F.count(F.lit(1)).alias("columns"),
-        F.count_if("changed").alias("changed"),
-        F.count_if(F.col("grounded_in").isNotNull()).alias("in_grounded_tables"),
+    """Tables processed and grounded, columns documented, and comments staged per catalog."""
+    said = suggest.ingest(_scan(spark, d), estate.responses(spark, d), _grounding(spark, d))
+    statements = suggest.comment_statements(
+        _scan(spark, d), registry.tables_in_scope(estate.registry(spark, d)), estate.responses(spark, d)
     )
+    return runs.counters(said, statements, CATALOG_KEY)
 
 
 def before_after_score(spark: SparkSession, d: str) -> DataFrame:
