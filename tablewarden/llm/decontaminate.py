@@ -141,5 +141,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.begin, s.begin + s.length - 1))))
     rows = rows.select("row", "spans", pieces.alias("pieces"), hit.alias("hit"))
     tail = F.substring(text, F.length(F.array_join("pieces", "")) + 1, F.length(text))
-    clean = F.concat(F.array_join(F.filter("pieces", lambda p, i: ~F.array_contains("hit", i)), ""), tail)
+    # the hits are a variable of the expression: else they may be worked out again for each piece
+    kept = F.get(F.transform(F.array("hit"), lambda h: F.filter("pieces", lambda p, i: ~F.array_contains(h, i))), F.lit(0))
+    clean = F.concat(F.array_join(kept, ""), tail)
     return rows.select(F.col("row").withField(text_col, F.when(F.size("spans") == 0, text).otherwise(clean)).alias("row")).select("row.*")

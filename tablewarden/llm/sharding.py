@@ -103,7 +103,9 @@ def sharded(
 
     ends = [i / buckets for i in range(1, buckets)]
     bounds = keyed.select(F.percentile_approx("key", ends, 20 * buckets).alias("b")).first().b or []
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]).cast("array<bigint>"), lambda b: b <= F.col("key")))
+    table = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]).cast("array<bigint>")
+    # the key is a variable of the expression: else it may be worked out again for each bound
+    bucket = F.get(F.transform(F.array("key"), lambda k: F.size(F.filter(table, lambda b: b <= k))), F.lit(0))
     keyed = keyed.withColumn("bucket", bucket)
     counts = sorted(map(tuple, keyed.groupBy("bucket").count().collect()))
     total, firsts = 0, []
