@@ -68,13 +68,20 @@ def counters(suggestions: DataFrame, statements: DataFrame, keys: list[str]) ->
     `statements` are those of `suggest.comment_statements`; staged are the ones of writable tables.
     """
     table = F.struct(*TABLE_KEY)
-    done = suggestions.groupBy(*keys).agg(
-        F.count_distinct(table).alias("tables_processed"),
-        F.count_distinct(F.when(F.col("doc_system").isNotNull(), table)).alias("tables_grounded"),
-        F.count_if(is_filled(F.col("suggested_comment"))).alias("columns_documented"),
+    done = suggestions.select(
+        *keys, table.alias("table"), F.when(F.col("doc_system").isNotNull(), table).alias("grounded"),
+        is_filled(F.col("suggested_comment")).alias("documented"), F.lit(False).alias("staged"),
+    )
+    staged = statements.where("is_writable").select(
+        *keys, F.lit(None).cast(done.schema["table"].dataType).alias("table"), F.lit(None).cast(done.schema["table"].dataType).alias("grounded"),
+        F.lit(False).alias("documented"), F.lit(True).alias("staged"),
+    )
+    return done.unionByName(staged).groupBy(*keys).agg(
+        F.count_distinct("table").alias("tables_processed"),
+        F.count_distinct("grounded").alias("tables_grounded"),
+        F.count_if("documented").alias("columns_documented"),
+        F.count_if("staged").alias("comments_staged"),
     )
-    staged = statements.where("is_writable").groupBy(*keys).agg(F.count(F.lit(1)).alias("comments_staged"))
-    return done.join(staged, keys, "left").withColumn("comments_staged", F.coalesce("comments_staged", F.lit(0)))
 
 
 def price(text: Column) -> Column:

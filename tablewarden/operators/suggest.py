@@ -256,6 +256,22 @@ def portal_columns(profile: DataFrame, written: DataFrame, texts: DataFrame, gro
     )
 
 
+def portal_tables(inventory: DataFrame, columns: DataFrame, descriptions: DataFrame, grounded: DataFrame) -> DataFrame:
+    """Tables as a reader sees them: Portuguese text of the newest run, documentation they are grounded
+    in, and how many of their columns hold personal data or nothing. `columns` are those of
+    `portal_columns`; a table without columns has zeros."""
+    counts = columns.groupBy(*TABLE_KEY).agg(
+        F.count_if("is_pii").alias("pii_count"),
+        F.count_if(F.col("is_all_null") | F.col("is_constant")).alias("dead_count"),
+    )
+    return (
+        inventory.join(descriptions.select(*TABLE_KEY, F.col("description_pt").alias("comment_pt")), TABLE_KEY, "left")
+        .join(grounded.select(*TABLE_KEY, "doc_system", "passages"), TABLE_KEY, "left")
+        .join(counts, TABLE_KEY, "left")
+        .fillna(0, ["pii_count", "dead_count"])
+    )
+
+
 def doc_usage(documents: DataFrame, grounded: DataFrame) -> DataFrame:
     """Tables grounded in each document (doc_id, title); documents nobody used are kept."""
     used = grounded.groupBy(F.col("doc_system").alias("doc_id")).agg(F.count(F.lit(1)).alias("tables"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.moments import moment
 from ..functions.text import is_filled
@@ -38,12 +38,14 @@ def scan(
     schema: str | None = None,
     samples: bool = False,
 ) -> Scan:
-    """Audit `tables` as of a moment. Lazy: nothing is read before an action.
+    """Audit `tables` (one at least) as of a moment. Only metadata is read before an action.
 
     The query log is read apart from the tables, and the audit's own marked statements do
     not count as reads.
     """
     scoped = tables if schema is None else [t for t in tables if t.schema == schema]
+    if not scoped:
+        return empty(spark)
     in_scope = tables_in_scope(registry_frame(spark, scoped), schema)
     reads = usage.foreign_reads(query_log, asof, sorted({t.catalog for t in scoped}))
     columns = (
@@ -68,6 +70,15 @@ def scan(
     return Scan(inventory, profile)
 
 
+def empty(spark: SparkSession) -> Scan:
+    """The scan of a catalog without tables."""
+    frames = {}
+    for table in ("table_inventory", "column_profile"):
+        kept = [f for f in store.schema_of(table).fields if f.name not in ("scan_id", "scanned_at")]
+        frames[table] = spark.createDataFrame([], T.StructType(kept))
+    return Scan(frames["table_inventory"], frames["column_profile"])
+
+
 def save(found: Scan, root: str, scan_id: str, catalog: str, started_at: datetime, finished_at: datetime) -> None:
     """Append a scan to the meta tables under `root`, which need not be in the audited lake."""
     stamp = {"scan_id": F.lit(scan_id), "scanned_at": moment(started_at)}

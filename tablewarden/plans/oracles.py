@@ -667,6 +667,12 @@ ORACLES["portal_columns"] = _estate(
     "CASE WHEN model_label <> 'none' AND model_label IS DISTINCT FROM pii_by_name AND model_label IS DISTINCT FROM pii_by_value "
     "THEN model_label || ' (model)' END) AS pii_labels FROM columns_"
 )
+ORACLES["portal_tables"] = _estate(
+    "SELECT t.table_catalog, t.table_schema, t.table_name, CAST(NULL AS VARCHAR) AS comment_pt, CASE WHEN count(c.table_key) > 0 THEN any_value(t.system) END AS doc_system, "
+    "CASE WHEN count(c.table_key) > 0 THEN any_value(t.system || ': ' || t.p_brand || ' | ' || t.system || ': ' || t.p_name) END AS passages, "
+    "count(*) FILTER (WHERE is_pii) AS pii_count, count(*) FILTER (WHERE dead) AS dead_count "
+    "FROM tables t LEFT JOIN columns_ c USING (table_key) GROUP BY ALL"
+)
 _FQN = "'`' || table_catalog || '`.`' || table_schema || '`.`' || table_name || '`'"
 ORACLES["comment_statements"] = _estate(
     f"SELECT table_catalog, table_schema, table_name, 'COMMENT ON TABLE ' || {_FQN} || ' IS ''All ' || p_name || 's \\\\ ''''x''''''' AS statement, is_writable "

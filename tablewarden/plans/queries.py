@@ -470,6 +470,17 @@ def portal_columns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def portal_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables as a reader sees them, from what a run stores."""
+    tables = registry.tables_in_scope(estate.registry(spark, d))
+    said = suggest.ingest(_scan(spark, d), estate.responses(spark, d), _grounding(spark, d))
+    grounded = suggest.provenance(said)
+    columns = suggest.portal_columns(estate.columns(spark, d), said, said, grounded)
+    return suggest.portal_tables(tables, columns, suggest.table_descriptions(tables, estate.responses(spark, d)), grounded).select(
+        *TABLE_KEY, "comment_pt", "doc_system", F.array_join("passages", " | ").alias("passages"), "pii_count", "dead_count"
+    )
+
+
 def comment_statements(spark: SparkSession, d: str) -> DataFrame:
     return suggest.comment_statements(
         _scan(spark, d), registry.tables_in_scope(estate.registry(spark, d)), estate.responses(spark, d)
@@ -693,7 +704,7 @@ QUERIES = {
         findings_ranked, audit_totals, health_score, schema_coverage, storage_cost, storage_sizes,
         tokenize, chunk_documents, document_titles, chunk_terms, doc_frequency, source_mapping,
         tfidf_retrieval, context_packing, table_grounding, scan_load, prompt_build, suggestion_ingest,
-        table_descriptions, pii_agreement, label_agreement, pii_comparison, portal_columns,
+        table_descriptions, pii_agreement, label_agreement, pii_comparison, portal_columns, portal_tables,
         comment_statements, provenance, doc_usage, latest_run, run_diff, run_counters,
         before_after_score, run_cost, catalog_search, document_search, facets, name_filter,
         localized_text, meta_evolution, curated_filter, monthly_rollup, top_months, avg_by_group,

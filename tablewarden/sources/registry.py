@@ -6,8 +6,10 @@ so they are built on the driver. Everything about table *contents* stays in Data
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -43,6 +45,7 @@ class TableSource:
     owner: str | None = None
     comment: str | None = None
     column_comments: tuple[tuple[str, str], ...] = ()
+    created_at: datetime | None = None
 
 
 def parquet_tables(
@@ -56,28 +59,42 @@ def parquet_tables(
     ]
 
 
-def catalog_tables(spark: SparkSession, catalog: str, schema: str) -> list[TableSource]:
-    """Every table of one schema of the session catalog, comments included."""
+def catalog_tables(spark: SparkSession, catalog: str, schema: str | None = None) -> list[TableSource]:
+    """Every table of one schema of a catalog, or of all its schemas but the system's own.
+
+    Comments, owner, creation time and location come from the catalog, one lookup per table; data
+    is not read. Views have no location.
+    """
+    if schema is None:
+        listed = [row[0] for row in spark.sql(f"SHOW SCHEMAS IN {_name(catalog)}").collect()]
+        return [t for s in listed if s not in SYSTEM_SCHEMAS for t in catalog_tables(spark, catalog, s)]
     found = []
-    for table in spark.catalog.listTables(f"{catalog}.{schema}"):
+    for table in spark.catalog.listTables(f"{_name(catalog)}.{_name(schema)}"):
         if table.isTemporary:
             continue
-        full_name = f"`{catalog}`.`{schema}`.`{table.name}`"
+        full_name = ".".join(map(_name, (catalog, schema, table.name)))
         data = spark.table(full_name)
         comments = tuple(
             (field.name, field.metadata["comment"])
             for field in data.schema.fields
             if "comment" in field.metadata
         )
+        facts = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {full_name} AS JSON").first()[0])
+        created = facts.get("created_time")
         found.append(
             TableSource(
-                catalog, schema, table.name, data, None, table.tableType,
-                None, table.description, comments,
+                catalog, schema, table.name, data, None if table.tableType == "VIEW" else facts.get("location"),
+                table.tableType, facts.get("owner"), table.description, comments,
+                datetime.fromisoformat(created.replace("Z", "+00:00")).replace(tzinfo=None) if created else None,
             )
         )
     return found
 
 
+def _name(part: str) -> str:
+    return "`" + part.replace("`", "``") + "`"
+
+
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "timestamp_ntz": pa.timestamp("us")}
 
 
@@ -92,7 +109,7 @@ def metadata_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFram
 
 def registry_frame(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
     rows = [
-        (t.catalog, t.schema, t.name, t.table_type, t.owner, None, None, t.comment) for t in tables
+        (t.catalog, t.schema, t.name, t.table_type, t.owner, t.created_at, None, t.comment) for t in tables
     ]
     return metadata_frame(spark, rows, REGISTRY_DDL)
 
@@ -134,7 +151,8 @@ def is_fragmented(num_files: Column, size_bytes: Column) -> Column:
 
 
 def file_stats(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
-    """Bytes and data files per table from a distributed listing; no file content is read."""
+    """Bytes and data files per table that has a location, from listings of its folder, which the
+    driver makes table by table; no file content is read."""
     listings = [
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
@@ -149,6 +167,8 @@ def file_stats(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
         for t in tables
         if t.location
     ]
+    if not listings:
+        return metadata_frame(spark, [], "table_catalog string, table_schema string, table_name string, size_bytes bigint, num_files bigint")
     files = listings[0]
     for listing in listings[1:]:
         files = files.unionByName(listing)
@@ -158,7 +178,7 @@ def file_stats(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
 
 
 def row_counts(tables: list[TableSource]) -> DataFrame:
-    """Rows per table; Parquet answers this from file footers without reading a column."""
+    """Rows per table (one at least); Parquet answers this from file footers without reading a column."""
     counts = [
         t.data.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(t.catalog).alias("table_catalog"),
