@@ -7,10 +7,68 @@ Regular expressions avoid look-around, which that engine does not have.
 
 from __future__ import annotations
 
-from ..functions.pii import CPF_PATTERN, EMAIL_PATTERN, NAME_PATTERNS, PHONE_PATTERN
-from ..functions.text import SEARCH_STOP_WORDS, STOP_WORDS
-from . import lake
-from .estate import COLUMN_KINDS, MAPPING
+
+# Fixed values of the definitions, written out again so that rows check the engine's own copies.
+CPF_PATTERN = '^[0-9]{3}\\.?[0-9]{3}\\.?[0-9]{3}-?[0-9]{2}$'
+EMAIL_PATTERN = '(?i)^[^@\\s]+@[^@\\s]+\\.[a-z]{2,}$'
+PHONE_PATTERN = '^\\+?[0-9\\s().-]{10,20}$'
+NAME_PATTERNS = [
+    ('network_id', '(ip_address|ip_addr|user_agent|device_id|mac_address)'),
+    ('national_id', '\\b(cpf|cnpj|ssn|nif|national_id)\\b'),
+    ('person_name', '(^|_)(nome|name|sobrenome|surname)($|_)'),
+    ('email', '(email|e_mail|mail)'),
+    ('phone', '(telefone|phone|celular|mobile|msisdn)'),
+    ('birth_date', '(nascimento|birth|dob)'),
+    ('address', '(endereco|address|logradouro|cep|zipcode|postal)'),
+]
+STOP_WORDS = [
+    "the", "a", "an", "of", "for", "and", "or", "is", "are", "to", "in", "on",
+    "by", "with", "as", "at", "from", "this", "that", "it", "its", "be", "each", "when",
+    "which", "was", "were", "has", "have", "not", "but", "all", "any", "can", "id",
+]
+SEARCH_STOP_WORDS = [
+    "the", "and", "for", "что", "which", "what", "does", "hold", "holds", "have", "has", "are",
+    "is", "of", "in", "on", "a", "an", "to", "with", "que", "qual", "quais", "como",
+    "onde", "tem", "sao", "são", "é", "e", "de", "da", "do", "das", "dos", "um",
+    "uma",
+]
+# The derived estate: column kinds and mapping rules.
+COLUMN_KINDS = [
+    ('name_', 'string', 'person_name'),
+    ('email_', 'string', 'email'),
+    ('cpf-', 'string', 'national_id'),
+    ('dt_nascimento_', 'date', 'birth_date'),
+    ('ip_address_', 'string', 'network_id'),
+    ('valor_', 'double', 'none'),
+    ('status_', 'string', 'none'),
+    ('phone_', 'string', 'phone'),
+    ('queueId', 'string', 'none'),
+    ('endereco_', 'string', 'address'),
+    ('tAcw', 'bigint', 'none'),
+    ('nota_', 'string', 'none'),
+]
+MAPPING = [
+    ('brand_1.small*', 'src0'),
+    ('brand_1.*', 'src1'),
+    ('brand_1*.*', 'src2'),
+    ('brand_2*', 'src3'),
+    ('*bolt*', 'src4'),
+]
+# The derived lake: its tables and those its query log names.
+LAKE_TABLES = [
+    "orders", "lineitem", "events", "region", "nation", "customer", "supplier", "part", "documents",
+    "pages", "labels", "benchmark", "embeddings", "conversations",
+]
+LAKE_SCHEMAS = {
+    "raw": ["orders", "lineitem", "events"],
+    "ref": ["region", "nation"],
+    "crm": ["customer", "supplier", "part"],
+    "docs": ["documents", "pages", "labels", "benchmark", "embeddings", "conversations"],
+}
+LAKE_LOGGED = [
+    "lineitem", "orders", "customer", "supplier", "nation", "region", "events", "documents", "embeddings",
+    "pages", "orders_v2", "part_v2",
+]
 
 
 def _quote(text: str) -> str:
@@ -130,7 +188,7 @@ COLUMNS = {
 }
 CONTACT_COLUMNS = "c_custkey contact* line_no* document_no* old_document_no* mixed* nickname* country*"
 LEGACY_COLUMNS = COLUMNS["orders"] + " o_legacy* o_country*"
-SCHEMA_OF = {name: schema for schema, names in lake.SCHEMAS.items() for name in names}
+SCHEMA_OF = {name: schema for schema, names in LAKE_SCHEMAS.items() for name in names}
 
 _NINE = "lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0')"
 _CPF = _cpf_from(_NINE)
@@ -338,12 +396,12 @@ ranked AS (
   FROM scored QUALIFY rank <= 6)"""
 
 _LAKE_LOG = f"""picked AS (
-  SELECT ts, event_id, event_type, ([{', '.join(_quote(n) for n in lake.LOGGED)}])[CAST(event_id % 12 + 1 AS INTEGER)] AS p FROM events),
+  SELECT ts, event_id, event_type, ([{', '.join(_quote(n) for n in LAKE_LOGGED)}])[CAST(event_id % 12 + 1 AS INTEGER)] AS p FROM events),
 log AS (
   SELECT ts, event_type, event_id,
     CASE WHEN p IN ('embeddings', 'pages') AND ts >= TIMESTAMP '2024-01-10' THEN 'lineitem' ELSE p END AS t
   FROM picked WHERE event_type NOT IN ('signup', 'error')),
-names AS (SELECT unnest([{', '.join(_quote(n) for n in [*lake.TABLES, 'orders_v2', 'part_v2'])}]) AS table_name)"""
+names AS (SELECT unnest([{', '.join(_quote(n) for n in [*LAKE_TABLES, 'orders_v2', 'part_v2'])}]) AS table_name)"""
 
 _ESTATE_LOG = """reads AS (
   SELECT l_shipdate AS start_time,

@@ -18,8 +18,9 @@ from ..operators import findings, profile as profiling, retrieval, rollups, runs
 from ..operators.profile import TABLE_KEY
 from ..sources import registry, store
 from ..sources.documents import document_title, system_for
-from . import audit, estate, lake
-from .lake import read
+from ..fixtures import estate, lake
+from ..fixtures.lake import read
+from . import audit
 
 CATALOG_KEY = ["table_catalog"]
 
