@@ -18,10 +18,6 @@ NAME_PATTERNS = [
 EMAIL_PATTERN = r"(?i)^[^@\s]+@[^@\s]+\.[a-z]{2,}$"
 CPF_PATTERN = r"^[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}$"
 PHONE_PATTERN = r"^\+?[0-9\s().-]{10,20}$"
-MODEL_LABELS = [
-    "none", "person_name", "national_id", "email", "phone",
-    "birth_date", "address", "network_id", "other_pii",
-]
 SAMPLE_ROWS = 5
 STORED_SAMPLE_CHARS = 500
 

@@ -34,10 +34,11 @@ def marked(statement: str) -> str:
     return f"/* {MARKER} */ {statement}"
 
 
-def foreign_reads(log: DataFrame, asof: datetime, mentions: list[str]) -> DataFrame:
+def foreign_reads(log: DataFrame, asof: datetime, mentions: list[str], later: bool = False) -> DataFrame:
     """SELECTs of the look-back window, up to `asof`, that mention a catalog and are not the audit's own.
 
-    Time and type filters reach the scan. Mentions are literal and ignore case.
+    Time and type filters reach the scan. Mentions are literal and ignore case. With `later`, as for
+    a log that goes on, statements after `asof` count too.
     """
     text = F.lower(F.col("statement_text"))
     since = moment(asof) - F.expr(f"INTERVAL {LOOK_BACK_DAYS} DAYS")
@@ -46,7 +47,7 @@ def foreign_reads(log: DataFrame, asof: datetime, mentions: list[str]) -> DataFr
         about = about | text.contains(catalog.lower())
     return log.where(
         (F.col("start_time") >= since)
-        & (F.col("start_time") <= moment(asof))
+        & (F.lit(later) | (F.col("start_time") <= moment(asof)))
         & (F.col("statement_type") == "SELECT")
         & about
         & ~text.contains(MARKER)

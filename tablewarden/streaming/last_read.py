@@ -1,7 +1,7 @@
 """Last reads from a growing query log.
 
 The same name extraction as the batch operator, applied to new log files only. The state is one
-time per distinct name, so it is bounded by the names people use and not by the log. There is
+time per distinct name and batch. There is
 no watermark: a maximum needs none, and a statement that arrives late still counts.
 """
 
@@ -28,7 +28,7 @@ def start(log: DataFrame, asof: datetime, mentions: list[str], target: str, chec
     no harm, because readers take the maximum.
     """
     def write(batch: DataFrame, _: int) -> None:
-        latest_by_name(foreign_reads(batch, asof, mentions)).write.mode("append").parquet(target)
+        latest_by_name(foreign_reads(batch, asof, mentions, later=True)).write.mode("append").parquet(target)
 
     return (
         log.writeStream.foreachBatch(write)
