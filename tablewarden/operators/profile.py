@@ -132,14 +132,17 @@ def exact_distinct(tables: list[TableSource]) -> DataFrame:
 
 
 def column_samples(table: TableSource, key: str, columns: list[str] | None = None) -> DataFrame:
-    """First five values of each column, by `key`: (column_name, samples array).
+    """First five values of each column, by `key`, then by a hash of the row: (column_name, samples array).
 
-    A top-k per task and a merge of five rows; only the asked columns are read.
+    Repeatable, also where keys repeat or have no order; then the hash alone decides. A top-k per task and a merge of five rows; only the asked columns are read.
     """
     names = columns if columns is not None else [f.name for f in table.data.schema.fields]
     row_values = ", ".join(f"CAST({quoted(n)} AS STRING)" for n in names)
     head = (
-        table.data.selectExpr(f"{quoted(key)} AS sample_key", f"array({row_values}) AS row_values")
+        table.data.selectExpr(
+            f"{quoted(key) if _is_orderable(table.data.schema[key].dataType) else '0'} AS key", f"array({row_values}) AS row_values"
+        )
+        .selectExpr("struct(key, xxhash64(row_values) AS tie) AS sample_key", "row_values")
         .orderBy("sample_key")
         .limit(SAMPLE_ROWS)
     )

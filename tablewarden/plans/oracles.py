@@ -206,17 +206,17 @@ LEGACY = """legacy_orders AS (
   FROM orders)"""
 
 
-def _profile(tables: dict[str, str], distinct: bool = False, labels: bool = False) -> str:
-    """One row per column: counts, single value, and optionally distincts and value label."""
+def _profile(tables: dict[str, str], labels: bool = False) -> str:
+    """One row per column: counts, single value, and optionally the value label."""
     schema_of = {**SCHEMA_OF, "contacts": "crm", "legacy_orders": "raw"}
     rows = []
     for table, columns in tables.items():
         for position, column in enumerate(columns.split(), start=1):
             name, is_text = column.rstrip("*"), column.endswith("*")
             c = f'"{name}"'
-            extra = f", count(DISTINCT {c}) AS distinct_count" if distinct else ""
+            extra = ""
             if labels:
-                extra += f", {_column_label(c) if is_text else 'CAST(NULL AS VARCHAR)'} AS pii_by_value"
+                extra = f", {_column_label(c) if is_text else 'CAST(NULL AS VARCHAR)'} AS pii_by_value"
             rows.append(
                 f"SELECT '{schema_of[table]}' AS table_schema, '{table}' AS table_name, '{name}' AS column_name, "
                 f"{position} AS ordinal_position, {str(is_text).lower()} AS is_text, count(*) AS row_count, "
@@ -453,8 +453,8 @@ ORACLES["estate_inventory"] = _estate(
 )
 ORACLES["column_profile"] = (
     "SELECT table_schema, table_name, column_name, ordinal_position, row_count, null_count, "
-    "null_count / nullif(row_count, 0) AS null_ratio, distinct_count, row_count > 0 AND null_count = row_count AS is_all_null, "
-    f"is_constant FROM ({_profile(COLUMNS, distinct=True)})"
+    "null_count / nullif(row_count, 0) AS null_ratio, row_count > 0 AND null_count = row_count AS is_all_null, "
+    f"is_constant FROM ({_profile(COLUMNS)})"
 )
 ORACLES["approx_distinct"] = (
     "SELECT table_schema, table_name, column_name, approx IS NOT NULL AS within_tolerance FROM ("

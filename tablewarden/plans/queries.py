@@ -49,15 +49,10 @@ def estate_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    """One-pass profile of all tables, completed with exact distinct counts."""
-    tables = lake.tables(spark, d)
-    return (
-        profiling.profile_tables(tables, values=False)
-        .join(profiling.exact_distinct(tables), [*TABLE_KEY, "column_name"])
-        .select(
-            "table_schema", "table_name", "column_name", "ordinal_position", "row_count", "null_count",
-            "null_ratio", F.col("exact_distinct").alias("distinct_count"), "is_all_null", "is_constant",
-        )
+    """One-pass profile of all tables; `approx_distinct` checks its distinct counts against exact ones."""
+    return profiling.profile_tables(lake.tables(spark, d), values=False).select(
+        "table_schema", "table_name", "column_name", "ordinal_position", "row_count", "null_count",
+        "null_ratio", "is_all_null", "is_constant",
     )
 
 
