@@ -159,7 +159,8 @@ class Mix:
         low = F.greatest(F.col("block") * self.block, "start")
         high = F.least(F.col("block") * self.block + F.col("take"), F.col("start") + F.col("size"))
         words = F.when(F.col("take").isNotNull(), F.greatest(high - low, F.lit(0)))
-        return pieces.join(self.slots, ["src", "block"], "left").select(
+        # slots grow with the mix, which their plan's estimated size does not show
+        return pieces.join(self.slots.hint("merge"), ["src", "block"], "left").select(
             *keep, "epoch", "shard", "slot", (low - F.col("start")).alias("begin"), F.coalesce(words, F.lit(0)).alias("words")
         )
 
