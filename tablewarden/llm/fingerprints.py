@@ -31,6 +31,7 @@ BUCKETS_PER_PARTITION = 2
 _CHARS = 1 << 19
 _TOSSES = 4
 _U = np.uint64
+_LOWEST_BIT = np.array([(n & -n).bit_length() - 1 if n else 0 for n in range(256)], np.uint8)
 
 
 def _starts(owner: np.ndarray) -> np.ndarray:
@@ -48,13 +49,19 @@ def _grouped(symbols: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
 def _phrases(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Marks where phrases begin. Neighbours within a text differ."""
     begin = _starts(owner)
-    labels = symbols
-    for _ in range(_TOSSES):
-        before = np.concatenate([~labels[:1], labels[:-1]])
+    # the first toss leaves labels below 128, so that the others work on bytes
+    before = np.empty_like(symbols)
+    before[1:] = symbols[:-1]
+    before[begin] = ~symbols[begin]
+    differ = symbols ^ before
+    low = np.bitwise_count((differ & (~differ + _U(1))) - _U(1))
+    labels = low * np.uint8(2) + (symbols >> low & _U(1)).astype(np.uint8)
+    before = np.empty_like(labels)
+    for _ in range(_TOSSES - 1):
+        before[1:] = labels[:-1]
         before[begin] = ~labels[begin]
-        differ = labels ^ before
-        low = np.bitwise_count((differ & (~differ + _U(1))) - _U(1)).astype(_U)
-        labels = low * _U(2) + (labels >> low & _U(1))
+        low = _LOWEST_BIT[labels ^ before]
+        labels = low * np.uint8(2) + (labels >> low & np.uint8(1))
     left = np.concatenate([[True], labels[1:] > labels[:-1]])
     right = np.concatenate([labels[:-1] >= labels[1:], [False]])
     # the last symbol of a text must not be compared with the next text
@@ -94,7 +101,8 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
         part = texts[begin:end]
         points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
         found, owner = names(points, np.repeat(np.arange(len(part)), [len(t) for t in part]))
-        keyed = np.unique(owner.astype(_U) << _U(32) | found >> _U(32))
+        keyed = np.sort(owner.astype(_U) << _U(32) | found >> _U(32))
+        keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])] if len(keyed) else keyed
         bounds = np.searchsorted(keyed, np.arange(len(part) + 1, dtype=_U) << _U(32))
         out += [(keyed[a : min(b, a + NAMES)] & _U(0xFFFFFFFF)).astype(">u4") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         begin = end
