@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tablewarden.llm.words import mix as scramble
 
@@ -165,6 +165,11 @@ class Mix:
         )
 
 
+def _local(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A local table, whose size the optimizer knows."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def mixed(
     docs: DataFrame, columns: list[str], weights=(5, 2, 1), share=1.5, most=2.0, id_col="doc_id", text_col="text", source_col="source", block=BLOCK, shards=SHARDS, seed=11
 ) -> Mix:
@@ -177,29 +182,31 @@ def mixed(
     spark = docs.sparkSession
     one = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-        F.col(f"`{source_col}`").alias("source"),
+        F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
+        F.col(f"`{source_col}`").isNull().alias("missing"),
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(f"[^{_SPACE}]+")), F.lit(0)).cast("long").alias("size"),
         F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(BUCKETS)).alias("bucket"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("tie"),
     )
-    sums = one.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    rows = sums.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
+    sums = one.groupBy("source", "missing", "bucket").agg(F.sum("size").alias("words"))
+    rows = sums.groupBy("source", "missing").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
+    rows.sort(key=lambda r: (r.missing, r.source))
     sizes = [r.words for r in rows]
-    sources = [_quota(i, r.source, r.words, t, block, seed) for i, (r, t) in enumerate(zip(rows, targets(sizes, weights, share, most), strict=True))]
+    sources = [_quota(i, None if r.missing else r.source, r.words, t, block, seed) for i, (r, t) in enumerate(zip(rows, targets(sizes, weights, share, most), strict=True))]
 
-    names = spark.createDataFrame([(s.index, s.name) for s in sources], "src int, name string")
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start"))
-    starts = starts.join(names, F.col("source").eqNullSafe(F.col("name"))).select("src", F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_start")
-    within = Window.partitionBy("source", "bucket").orderBy("id", "size", "tie")
+    names = _local(spark, src=pa.array([s.index for s in sources], pa.int32()), source=pa.array([s.name or "" for s in sources], pa.string()), missing=pa.array([s.name is None for s in sources], pa.bool_()))
+    before = Window.partitionBy("source", "missing").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("source", "missing", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start"))
+    starts = starts.join(names, ["source", "missing"])
+    within = Window.partitionBy("source", "missing", "bucket").orderBy("id", "size", "tie")
     placed = one.withColumn("rank", F.row_number().over(within)).withColumn(
         "before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select(
+    # the window has dealt rows by these keys already
+    placed = placed.join(starts, ["source", "missing", "bucket"]).select(
         "row", "src", "bucket", "rank", "size", (F.col("bucket_start") + F.col("before")).alias("start")
     )
 
@@ -222,7 +229,12 @@ def mixed(
 def report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of `docs`."""
     mix = mixed(docs, [id_col], id_col=id_col, **options)
-    facts = docs.sparkSession.createDataFrame([(s.index, s.size, s.target) for s in mix.sources], "src int, source_size long, target double")
+    facts = _local(
+        docs.sparkSession,
+        src=pa.array([s.index for s in mix.sources], pa.int32()),
+        source_size=pa.array([s.size for s in mix.sources], pa.int64()),
+        target=pa.array([s.target for s in mix.sources], pa.float64()),
+    )
     keys = ["src", "bucket", "rank", "size", "row"]
     taken = mix.taken(["bucket", "rank", "row", "src", "size"]).groupBy(*keys).agg(F.sum("words").alias("taken"))
     return taken.join(facts, "src").select(F.col(f"row.{id_col}").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

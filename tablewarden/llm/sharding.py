@@ -12,11 +12,14 @@ are spread over ranges.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BITS = 6
 BUCKETS = 256
 TIE_BITS = 36
+# Up to so many values of a category, their levels are a local table whose size the optimizer knows.
+LOCAL_VALUES = 10_000
 
 
 def hilbert_index(values: list[Column], bits: int) -> Column:
@@ -57,6 +60,15 @@ def hilbert_index(values: list[Column], bits: int) -> Column:
 def _category(docs: DataFrame, column: str, bits: int) -> DataFrame:
     """(value, level) of a text column: values in order, levels by the share of rows before them."""
     counts = docs.groupBy(F.col(column).alias("value")).count()
+    few = counts.limit(LOCAL_VALUES + 1).collect()
+    if len(few) <= LOCAL_VALUES:
+        few.sort(key=lambda r: (r.value is not None, r.value or ""))
+        rows, before, all_rows = [], 0, sum(r["count"] for r in few)
+        for r in few:
+            rows.append((r.value, before * (1 << bits) // all_rows))
+            before += r["count"]
+        table = pa.table([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["value", "level"])
+        return docs.sparkSession.createDataFrame(table)
     order = Window.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("count").over(Window.partitionBy())
     level = F.floor((F.sum("count").over(order) - F.col("count")) * (1 << bits) / total)
