@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewarden.llm.durable import cut
 
-MIN_WORDS = 25
+# low enough for a single repeated line of a sentence, as a key and as a block
+MIN_WORDS = 10
 
 
 def _sequence(text: str) -> tuple[list[int], list[int], list[int]]:
