@@ -6,7 +6,8 @@ each of its keys only, so a frequent passage costs no more comparisons than a ra
 group is expanded into pairs; what two documents share in such runs, the first holder shares with
 both. The two sequences are aligned by patience diff: lines that occur once in both are anchors, the
 longest rising chain of them holds, and the gaps are aligned in turn. Aligned blocks of consecutive
-lines with at least `MIN_WORDS` words are deleted from the later document.
+lines with at least `MIN_WORDS` words are deleted from the later document, then runs of so many words
+that the alignment left as their order differs.
 
 Lines are compared without surrounding white space. Blank lines are left out of sequences and stay.
 """
@@ -40,8 +41,8 @@ def _sequence(text: str) -> tuple[list[int], list[int], list[int]]:
     return numbers, hashes, words
 
 
-def _keys(hashes: list[int], words: list[int], least: int) -> list[int]:
-    """Hashes of the shortest runs of enough words from each line on, and up to each line."""
+def _spans(words: list[int], least: int) -> set[tuple[int, int]]:
+    """The shortest runs of enough words from each line on, and up to each line."""
     ends = np.cumsum([0, *words])
     spans = set()
     for i in range(len(words)):
@@ -51,8 +52,13 @@ def _keys(hashes: list[int], words: list[int], least: int) -> list[int]:
         start = int(np.searchsorted(ends, ends[i + 1] - least, side="right")) - 1
         if ends[i + 1] >= least:
             spans.add((start, i + 1))
+    return spans
+
+
+def _keys(hashes: list[int], words: list[int], least: int) -> list[int]:
+    """Hashes of these runs."""
     packed = np.array(hashes, np.int64)
-    return sorted({xxhash.xxh3_64_intdigest(packed[i:j].tobytes()) - (1 << 63) for i, j in spans})
+    return sorted({xxhash.xxh3_64_intdigest(packed[i:j].tobytes()) - (1 << 63) for i, j in _spans(words, least)})
 
 
 def _sequences(least: int):
@@ -112,9 +118,17 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _shared(a: list[int], b: list[int], left: list[int], words: list[int], least: int) -> set[int]:
+    """Positions among `left` in b of the lines of all runs of enough words that a has, in whatever order."""
+    spans = [(i, j) for i, j in _spans([words[i] for i in left], least) if left[j - 1] - left[i] == j - 1 - i]
+    runs = {n: {tuple(a[i : i + n]) for i in range(len(a) - n + 1)} for n in {j - i for i, j in spans}}
+    return {k for i, j in spans if tuple(b[left[i] : left[j - 1] + 1]) in runs[j - i] for k in left[i:j]}
+
+
 def common_lines(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
     """Positions in b of the lines of all aligned blocks of enough words. What is left of b is aligned
-    again, so passages that b repeats are found too."""
+    again, so passages that b repeats are found too. Where an alignment deletes nothing, as a chain of
+    short lines crosses a passage, the runs both have are deleted without regard to their order."""
     left, found = list(range(len(b))), []
     while left:
         matched = patience(a, [b[i] for i in left])
@@ -126,6 +140,7 @@ def common_lines(a: list[int], b: list[int], words: list[int], least: int) -> li
             block.append((x, y))
         blocks.append(block)
         gone = {left[y] for block in blocks if sum(words[left[y]] for _, y in block) >= least for _, y in block}
+        gone = gone or _shared(a, b, left, words, least)
         if not gone:
             break
         found += gone
