@@ -20,6 +20,8 @@ ORACLE_SQL = None
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is undetermined: no text, no letter."""
     prototypes = language_id.learn(docs.where(~language_id.held_out("doc_id")).select("text", "lang"))
+    # where no document has a language, a stand-in leaves `und` to texts without a letter
+    prototypes = prototypes or {"?": [0] * language_id.DIMENSIONS}
     return language_id.identify(docs, prototypes).where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
