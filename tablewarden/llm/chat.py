@@ -18,6 +18,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tablewarden.llm.rows import column
+
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]")
 _BREAK = r"(<(?=\||/?s>)|\|(?=>)|\[(?=/?INST\]))"
 END = "</s>"
@@ -76,7 +78,7 @@ def _paths(kind: T.DataType, path: str, value: Column) -> list[tuple[str, Column
 
 def fingerprint(records: DataFrame, columns: list[str]) -> Column:
     """The layout fingerprint of each record, over the given columns."""
-    found = [p for c in columns for p in _paths(records.schema[c].dataType, c, F.col(f"`{c}`"))]
+    found = [p for c in columns for p in _paths(records.schema[c].dataType, c, column(c))]
     named = F.array(*[F.when(F.coalesce(present, F.lit(False)), F.lit(name)) for name, present in sorted(found, key=lambda p: p[0])])
     return F.sha2(F.concat_ws("\n", named), 256)
 
@@ -170,11 +172,11 @@ def from_rows(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     """Records of the layout `rows` from a table with a row per turn. Turns go by number, a null number
     first, equal ones by role, then text; null texts and roles are empty."""
     turn = F.struct(
-        F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+        column(turn_col).cast("long").alias("turn"), F.coalesce(column(role_col), F.lit("")).alias("role"), F.coalesce(column(text_col), F.lit("")).alias("text")
     )
     ordered = F.sort_array(F.collect_list(turn))
     numbered = F.transform(ordered, lambda t, i: F.struct(i.alias("turn"), t.role.alias("role"), t.text.alias("text")))
-    return turns.groupBy(F.col(f"`{id_col}`").alias("conv_id")).agg(numbered.alias("turns"))
+    return turns.groupBy(column(id_col).alias("conv_id")).agg(numbered.alias("turns"))
 
 
 def digests(records: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tablewarden.llm.rows import column, packed as packed_row
+
 from tablewarden.functions.generate import explode_once
 
 WINDOW = 10
@@ -43,7 +45,7 @@ def windows(benchmark: DataFrame, n: int = WINDOW, item_col: str = "item_id", te
 
 
 def _packed(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words(F.col(f"`{text_col}`")).alias("words"))
+    return docs.select(packed_row(docs.columns), words(column(text_col)).alias("words"))
 
 
 def _by_hash_set(packed: DataFrame, known: list) -> DataFrame:

@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame
 def cut(rows: DataFrame) -> DataFrame:
     """The rows, computed once and written to the session's checkpoint folder.
 
-    The folder is `spark.checkpoint.dir`; a temporary one is set only where the session names none,
-    as in tests on one machine. Files go when the result is no longer referenced.
+    The folder is `spark.checkpoint.dir`. Where the session names none, a temporary one is set if driver
+    and executors are one process, as in tests; on a cluster, whose executors could not read it,
+    that is an error. Files go when the result is no longer referenced.
     """
     context = rows.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
     return rows.checkpoint()

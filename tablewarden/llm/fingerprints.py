@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from tablewarden.llm.rows import column, packed as packed_row, schema
 from tablewarden.llm.words import mix, place_factor
 
 LEVELS = 6
@@ -130,8 +131,8 @@ def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             found = fingerprints([t or "" for t in row.field(at).to_pylist()])
             yield pa.record_batch([row, pa.array([f.tobytes().hex() for f in found], pa.string())], names=["row", "fingerprint"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, fingerprint string")
+    packed = docs.select(packed_row(docs.columns))
+    return packed.mapInArrow(run, schema(packed, "row", after="fingerprint string"))
 
 
 def edited(text: str, following: str) -> str:
@@ -209,7 +210,7 @@ def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all that the driver sees.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    ids = docs.select(column(id_col).cast("long").alias("doc_id"))
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = ids.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("b")).first().b or []
     bounds = sorted(set(bounds))
@@ -224,7 +225,7 @@ def _compare(docs: DataFrame, id_col: str, text_col: str, bounds: list[int], ord
     guests: dict[int | None, list[int]] = {}
     for (bucket, _), (_, head) in zip(order, order[1:] + order[:1], strict=True):
         guests.setdefault(head, []).append(bucket)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     dealt = texts.mapInArrow(_dealt(bounds, guests, 1), "bucket int, doc_id long, guest boolean, packed binary")
     # guests stand last in their bucket; of several rows with a head's id, the first is followed
     order_in = ["bucket", "guest", F.col("doc_id").desc_nulls_last(), "packed"]

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tablewarden.llm.durable import cut
+from tablewarden.llm.rows import column, packed as packed_row
 
 # low enough for a single repeated line of a sentence, as a key and as a block
 MIN_WORDS = 10
@@ -167,8 +168,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the text decides, and equal rows are one document. Null and empty texts, texts of fewer words, and
     rows without an id are left as they are (a null stays null). An empty table gives no rows.
     """
-    text = F.col(f"`{text_col}`")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    text = column(text_col)
+    rows = docs.select(packed_row(docs.columns), column(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     plain = rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", "tie", "text")
     kinds = "id long, tie long, numbers array<int>, hashes array<long>, words array<int>, keys array<long>"
     lined = cut(plain.mapInArrow(_sequences(least), kinds).where(F.size("keys") > 0))

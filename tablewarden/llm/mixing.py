@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tablewarden.llm.rows import column, packed as packed_row
 from tablewarden.llm.words import mix as scramble
 
 BLOCK = 256
@@ -181,13 +182,13 @@ def mixed(
     """
     spark = docs.sparkSession
     one = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-        F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
-        F.col(f"`{source_col}`").isNull().alias("missing"),
-        F.col(f"`{id_col}`").alias("id"),
-        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(f"[^{_SPACE}]+")), F.lit(0)).cast("long").alias("size"),
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(BUCKETS)).alias("bucket"),
-        F.xxhash64(F.col(f"`{text_col}`")).alias("tie"),
+        packed_row(columns),
+        F.coalesce(column(source_col), F.lit("")).alias("source"),
+        column(source_col).isNull().alias("missing"),
+        column(id_col).alias("id"),
+        F.coalesce(F.regexp_count(column(text_col), F.lit(f"[^{_SPACE}]+")), F.lit(0)).cast("long").alias("size"),
+        F.pmod(F.xxhash64(column(id_col)), F.lit(BUCKETS)).alias("bucket"),
+        F.xxhash64(column(text_col)).alias("tie"),
     )
     sums = one.groupBy("source", "missing", "bucket").agg(F.sum("size").alias("words"))
     rows = sums.groupBy("source", "missing").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()

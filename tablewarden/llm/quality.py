@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablewarden.llm.rows import column, schema
 from tablewarden.llm.words import buffers, hashed_words
 
 # Several look at the same fault from different sides; where a text only lacks the fault, most say nothing.
@@ -161,8 +162,8 @@ def classified(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, th
     words is bad: its score is 0. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    rows = docs.select(F.monotonically_increasing_id().alias("at"), rest.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rest = F.struct(*[column(c) for c in docs.columns if c != text_col])
+    rows = docs.select(F.monotonically_increasing_id().alias("at"), rest.alias("row"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     patterns = {r.votes: r["count"] for r in votes(rows).groupBy("votes").count().collect()}
     posteriors, _ = expectation_maximisation(patterns)
 
@@ -192,6 +193,5 @@ def classified(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, th
             scores = np.where([len(w) > 0 for w in words], scores, 0.0)
             yield pa.record_batch([batch.column(0), pa.array(found, pa.float64()), pa.array(scores, pa.float64())], names=["row", "posterior", "score"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    judged = rows.select("row", "text").mapInArrow(judge, f"row {kind}, posterior double, score double")
+    judged = rows.select("row", "text").mapInArrow(judge, schema(rows, "row", after="posterior double, score double"))
     return judged.select("*", (F.col("score") >= threshold).alias("kept"))

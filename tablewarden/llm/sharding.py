@@ -15,6 +15,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewarden.llm.rows import column, packed as packed_row
+
 BITS = 6
 BUCKETS = 256
 TIE_BITS = 36
@@ -94,11 +96,11 @@ def sharded(
     checksum 0); nulls are lowest in every dimension. Equal rows are interchangeable. An empty table
     gives no rows; with fewer rows than shards some shards are empty.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     facts = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-        F.col(f"`{id_col}`").alias("id"),
-        *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(categories)],
+        packed_row(columns),
+        column(id_col).alias("id"),
+        *[column(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)],
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     ).withColumn("log_size", F.log2("size"))
@@ -141,6 +143,7 @@ def report(docs: DataFrame, shards: int = 24, **options) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, **options) -> None:
-    """Writes all columns of `docs` as Parquet, a folder per shard, rows in curve order."""
-    rows = sharded(docs, docs.columns, shards, **options).select("row.*", "shard", "slot")
+    """Writes all columns of `docs` as Parquet, a folder per shard, rows in curve order. Columns `shard` and
+    `slot` that `docs` may have give way to the new ones."""
+    rows = sharded(docs, [c for c in docs.columns if c not in ("shard", "slot")], shards, **options).select("row.*", "shard", "slot")
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
