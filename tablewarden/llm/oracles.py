@@ -77,7 +77,89 @@ SELECT conv_id, any_value(mapping) AS mapping, count(*) AS n_turns,
   CAST(sum(8 + length(role) + {_ESCAPED.format("role")} + length(text) + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
+def _edit(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A state {c: cost, a: audit, t: repaired lines} after an edit."""
+    text = f"{state}.t" if line is None else f"CASE WHEN {state}.t = '' THEN {line} ELSE {state}.t || chr(10) || {line} END"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+# edits of a row: deletion, then for each state after it the ways to keep or change the row's role
+_DROP = [_edit(f"y{i}", "3", "D") for i in range(4)]
+_CHANGE = {s: _edit(f"y{s}", f"cut + CASE WHEN held THEN 2 ELSE {10**9} END", "R", f"'{r}:' || text") for s, r in ((0, "user"), (1, "user"), (2, "assistant"), (3, "user"))}
+
+
+def _kept(state: int, initial: str) -> str:
+    return _edit(f"y{state}", f"cut + CASE WHEN held AND left(role, 1) = '{initial}' THEN 0 ELSE {10**9} END", "K", "role || ':' || text")
+
+
+_STEP = [
+    _DROP[0],
+    _least(_DROP[1], _kept(0, "s")),
+    _least(_DROP[2], *[x for s in (0, 1, 3) for x in (_kept(s, "u"), _CHANGE[s])]),
+    _least(_DROP[3], _kept(2, "a"), _CHANGE[2]),
+]
+_WITH_USER = _least("x2", *[_edit(f"x{s}", "2", "I", "'user:'") for s in (0, 1, 3)])
+_WITH_ASSISTANT = _least("x3", _edit("y2", "2", "I", "'assistant:'"))
+_NOWHERE = f"{{'c': {10**9}, 'a': '', 't': ''}}"
+_BYTES = "list_transform(range(1, CAST(length(name) AS BIGINT) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS UBIGINT))"
+_CRC = (
+    f"xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], {_BYTES}), lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda z: CAST(z AS UBIGINT))), "
+    "lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END)), CAST(4294967295 AS UBIGINT))"
+)
+_REPAIR = rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+),
+hit AS (SELECT *, {_CRC} % 20 AS fault FROM named),
+rows_after AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hit, range(2) AS copies(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM rows_after),
+judged AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS open_end, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before
+  FROM placed
+),
+faulty AS (
+  SELECT *, NOT blank AND NOT again AS held, CAST(NOT blank AND NOT again AND open_end AS BIGINT) AS cut FROM judged
+),
+stats AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (NOT blank AND again) AS duplicate, sum(cut) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS place, {{'c': 0, 'a': '', 't': ''}} AS x0, {_NOWHERE} AS x1, {_NOWHERE} AS x2, {_NOWHERE} AS x3 FROM conversations
+  UNION ALL
+  SELECT conv_id, place, {', '.join(f'{e} AS x{i}' for i, e in enumerate(_STEP))}
+  FROM (
+    SELECT *, x0 AS y0, x1 AS y1, {_WITH_ASSISTANT} AS y3
+    FROM (SELECT f.conv_id, f.place, f.role, f.text, f.held, f.cut, w.x0, w.x1, w.x3, {_WITH_USER.replace('x0', 'w.x0').replace('x1', 'w.x1').replace('x2', 'w.x2').replace('x3', 'w.x3')} AS y2
+      FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.place = w.place + 1)
+  )
+),
+done AS (
+  SELECT conv_id, n, {_least("x0", _WITH_ASSISTANT)} AS found
+  FROM (SELECT w.conv_id, w.x0, w.x3, coalesce(s.n, 0) AS n, {_WITH_USER.replace('x0', 'w.x0').replace('x1', 'w.x1').replace('x2', 'w.x2').replace('x3', 'w.x3')} AS y2
+    FROM walk w LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.place = coalesce(s.n, 0))
+)
+SELECT d.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+  CAST(coalesce(s.truncated, 0) AS BIGINT) AS truncated, coalesce(s.illegal, 0) AS illegal, CAST(d.found.c AS BIGINT) AS cost, d.found.a AS audit, sha256(d.found.t) AS repaired_sha256
+FROM done d LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
 ORACLES: dict[str, str] = {
+    "op12_conversation_repair": _REPAIR,
     "op2_chat_formatting": _CHAT,
     "op3_near_duplicates": "WITH RECURSIVE"
     + near_duplicates(4, 80)
