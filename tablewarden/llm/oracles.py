@@ -158,7 +158,34 @@ SELECT d.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, coalesce(s.blank,
   CAST(coalesce(s.truncated, 0) AS BIGINT) AS truncated, coalesce(s.illegal, 0) AS illegal, CAST(d.found.c AS BIGINT) AS cost, d.found.a AS audit, sha256(d.found.t) AS repaired_sha256
 FROM done d LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM d.conv_id"""
 
+_COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+worded AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang),
+occurrences AS (
+  SELECT lang, size, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase FROM worded, range(1, 6) AS sizes(size)
+),
+f AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM occurrences GROUP BY lang, size, phrase HAVING count(*) >= 100),
+inside AS (
+  SELECT DISTINCT g.lang, array_to_string(g.w[i:i + s - 1], ' ') AS phrase, g.f
+  FROM f g, range(2, 5) AS shorter(s), range(1, 5) AS begins(i) WHERE s < g.size AND i + s - 1 <= g.size
+),
+kept AS (SELECT * FROM f c WHERE size >= 2 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.f >= 100 * c.f)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, CAST(t.n AS BIGINT) AS n, k,
+    CAST((CAST(1000 AS HUGEINT) * c.f * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM kept c, range(1, 5) AS cutting(k), totals t, f l, f r
+  WHERE k < c.size AND t.lang = c.lang AND l.lang = c.lang AND r.lang = c.lang
+    AND l.phrase = array_to_string(c.w[1:k], ' ') AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
+    "op13_collocations": _COLLOCATIONS,
     "op12_conversation_repair": _REPAIR,
     "op2_chat_formatting": _CHAT,
     "op3_near_duplicates": "WITH RECURSIVE"

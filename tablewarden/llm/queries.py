@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewarden.llm import chat, conversation_repair, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding
+from tablewarden.llm import chat, collocations, conversation_repair, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(_table(spark, directory, "conversations")))
 
 
+def op13_collocations(spark: SparkSession, directory: str) -> DataFrame:
+    return collocations.collocations(_table(spark, directory, "documents"), least=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_chat_formatting": op2_chat_formatting,
@@ -83,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_collocations": op13_collocations,
 }
