@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewarden.llm import chat, collocations, conversation_repair, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality, sharding
+from tablewarden.llm import chat, collocations, conversation_repair, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, sharding
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -67,6 +67,13 @@ def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.report(_table(spark, directory, "documents"), shards=24)
 
 
+def op11_packing(spark: SparkSession, directory: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, directory, "documents")
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end=1)
+
+
 def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(_table(spark, directory, "conversations")))
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_sharding": op10_sharding,
+    "op11_packing": op11_packing,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_collocations": op13_collocations,
 }
