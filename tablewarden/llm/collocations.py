@@ -14,9 +14,10 @@ extension that occurs as often. Both streams and these notes are brought into on
 lockstep; nothing is looked up by hashing. A range of a stream lacks only the phrases that its first
 phrase begins with: at most ORDER - 1 a range, which are joined to it.
 
-Ids: the `TABLE` most frequent words at most are sent to the tasks as a sorted table. If there are more words
-that are frequent enough, those beyond go by their own 64-bit hash, as do rare words, which then drop out
-after counting instead of before; results are the same.
+Ids: the `TABLE` most frequent words at most are sent to the tasks as a sorted table; ids fall with their counts,
+so that records, laid out by byte, compress well. If there are more words that are frequent enough, those
+beyond go by their own 64-bit hash, as do rare words, which then drop out after counting instead of
+before; results are the same. Texts of words are only looked up for the phrases that are returned.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ TOP = 2000
 UNKNOWN = "und"
 # words in the table of ids: 64 MB of hashes
 TABLE = 1 << 23
-FLUSH = 1 << 20
+FLUSH = 1 << 21
 # records of a bucket, about; and buckets dealt at once, beyond which they are dealt in two rounds
 BUCKET = 1 << 20
 FAN = 1 << 10
@@ -155,16 +156,26 @@ def _batches(batches: Iterator[pa.RecordBatch], languages: _Languages):
 _PACKED = "kind int, bucket long, packed binary"
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next and so on."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
 def _pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Sorted records, column by column, compressed."""
-    raw = np.concatenate([*columns, counts.astype(_U)]).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    """Sorted records, column by column, compressed; behind their number and the bytes of an id."""
+    raw = b"".join([*map(_planes, columns), _planes(counts.astype(_U))])
+    head = len(counts).to_bytes(8, "little") + bytes([columns[0].itemsize])
+    return head + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def _unpack(packed: bytes, width: int) -> list[np.ndarray]:
     """The columns and the counts."""
-    raw = pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
-    return list(np.frombuffer(raw, _U).reshape(width + 1, -1))
+    n, size = int.from_bytes(packed[:8], "little"), packed[8]
+    sizes = [size] * width + [8]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed[9:], n * sum(sizes), asbytes=True), np.uint8)
+    ends = np.cumsum([0, *sizes]) * n
+    parts = [np.ascontiguousarray(raw[a:b].reshape(-1, n).T) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [part.view(np.uint32 if size == 4 else _U).ravel() for part, size in zip(parts, sizes, strict=True)]
 
 
 def _merged(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -183,8 +194,8 @@ def _merged(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tupl
 
 
 def _bucket(columns: list[np.ndarray], kind: int, bits: int) -> np.ndarray:
-    """The bucket of each record: by the key (words), both ids (pairs), the first three ids (runs)."""
-    value = columns[0] if kind == 0 else sum((c * f for c, f in zip(columns[: 3 if kind == 2 else 2], _FACTORS)), np.zeros(1, _U))
+    """The bucket of each record: by language and key (words), both ids (pairs), the first three ids (runs)."""
+    value = sum((c * f for c, f in zip(columns[: 3 if kind == 2 else 2], _FACTORS)), np.zeros(1, _U))
     return (mix(value) >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(columns[0]), np.int64)
 
 
@@ -205,7 +216,7 @@ def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "bucket", "packed"])
 
 
-_WIDTH = (1, 2, ORDER)
+_WIDTH = (2, 2, ORDER)
 
 
 def _redealt(bits: int):
@@ -221,6 +232,9 @@ def _redealt(bits: int):
 
         for batch in batches:
             for kind, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == _LANGUAGES:
+                    yield _packed_batch([(kind, bucket, packed)])
+                    continue
                 if held and ((kind, bucket) != at or size >= FLUSH):
                     yield flush()
                     held, size = [], 0
@@ -268,47 +282,80 @@ def _bits(records: int) -> int:
 # -- counting -----------------------------------------------------------------------------------------
 
 
+# rows that name the languages, and the words of each
+_LANGUAGES = 3
+
+
 def _count_words(bits: int):
+    """Records of words (key of the language, key), and the languages' totals."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        languages = _Languages()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        totals: dict[str, int] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return _packed_batch(list(_split(*_merged([np.concatenate(held)]), 0, bits)))
+            return _packed_batch(list(_split(*_merged([np.concatenate(c) for c in zip(*held, strict=True)]), 0, bits)))
 
-        for _, _, _, keys, _, _ in _batches(batches, _Languages()):
-            held.append(keys)
+        for _, lang, _, keys, _, owner in _batches(batches, languages):
+            held.append((languages.of(lang)[owner], keys))
             size += len(keys)
+            for name, n in zip(lang, np.bincount(owner, minlength=len(lang)).tolist(), strict=True):
+                totals[name] = totals.get(name, 0) + n
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
         if size:
             yield flush()
+        rows = [(_LANGUAGES, 0, n.to_bytes(8, "little") + name.encode("utf-8", "surrogatepass")) for name, n in totals.items()]
+        yield _packed_batch(rows)
 
     return run
 
 
+_WORDS = "level int, n long, langs binary, keys binary, counts binary, lang string"
+
+
 def _frequent(least: int):
-    """The keys and counts of the words that occur often enough, packed by count level (powers of two)."""
+    """The keys and counts of the words that occur often enough, packed by count level (powers of two); and the words
+    of each language (level null)."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["level", "n", "langs", "keys", "counts", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, columns, counts in _each_bucket(batches):
-            keys, counts = columns[0][counts >= least], counts[counts >= least]
-            levels = np.frexp(counts.astype(np.float64))[1]
-            rows = [(int(level), int((levels == level).sum()), keys[levels == level].tobytes(), counts[levels == level].tobytes()) for level in np.unique(levels)]
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["level", "n", "keys", "counts"])
+        def counted(parts: Iterator[pa.RecordBatch], totals: dict[str, int]) -> Iterator[pa.RecordBatch]:
+            for batch in parts:
+                own = batch.column("kind").to_numpy() == _LANGUAGES
+                for packed in batch.column("packed").filter(pa.array(own)).to_pylist():
+                    name = packed[8:].decode("utf-8", "surrogatepass")
+                    totals[name] = totals.get(name, 0) + int.from_bytes(packed[:8], "little")
+                yield batch.filter(pa.array(~own))
+
+        totals: dict[str, int] = {}
+        for _, (langs, keys), counts in _each_bucket(counted(batches, totals)):
+            levels = np.where(counts >= least, np.frexp(counts.astype(np.float64))[1], 0)
+            rows = []
+            for level in np.unique(levels[levels > 0]).tolist():
+                at = levels == level
+                rows.append((level, int(at.sum()), langs[at].tobytes(), keys[at].tobytes(), counts[at].tobytes(), None))
+            yield batch_of(rows)
+        yield batch_of([(None, n, None, None, None, name) for name, n in totals.items()])
 
     return run
 
 
-def _ids(keys: np.ndarray, table: np.ndarray, complete: bool) -> np.ndarray:
-    """Each word's id: its place in the table, from 1. Others are 0 if the table has all words wanted, else they
-    keep their key, marked."""
-    if not len(table):
-        return np.zeros(len(keys), _U) if complete else keys | _OWN
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at.astype(_U) + _U(1), _U(0) if complete else keys | _OWN)
+def _ids(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray], complete: bool) -> np.ndarray:
+    """Each word's id, from 1, by a table of sorted keys. Others are 0 if the table has all words wanted, else they keep
+    their key, marked."""
+    known, ids = table
+    if not len(known):
+        return np.zeros(len(keys), np.uint32) if complete else keys | _OWN
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    found = known[at] == keys
+    return np.where(found, ids[at], np.uint32(0)) if complete else np.where(found, ids[at].astype(_U), keys | _OWN)
 
 
 def _count_runs(shared, bits: int):
@@ -333,10 +380,10 @@ def _count_runs(shared, bits: int):
             n = len(ids)
             columns, alive = [ids], ids > 0
             for k in range(1, ORDER):
-                following = np.zeros(n, _U)
+                following = np.zeros(n, ids.dtype)
                 if n > k:
                     alive = np.concatenate([alive[: n - k] & (pieces[k:] == pieces[: n - k]) & (ids[k:] > 0), np.zeros(k, bool)])
-                    following[: n - k] = np.where(alive[: n - k], ids[k:], 0)
+                    following[: n - k] = ids[k:] * alive[: n - k]
                 columns.append(following)
             two, three = columns[1] > 0, columns[2] > 0
             pairs.append([c[two] for c in columns[:2]])
@@ -369,7 +416,7 @@ def _phrases(least: int):
                 first = np.flatnonzero(new)
                 total = np.add.reduceat(n, first)
                 first, total = first[total >= least], total[total >= least]
-                flat = np.stack([c[first] for c in own], axis=1).ravel().view(np.int64)
+                flat = np.stack([c[first] for c in own], axis=1).ravel().astype(_U).view(np.int64)
                 ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * k)
                 yield pa.record_batch([pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(total)], names=["ids", "f"])
 
@@ -459,76 +506,94 @@ def _lockstep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- the whole job ------------------------------------------------------------------------------------
 
 
-def _named(shared, least: int):
-    """(id, lang, word): where an id's word was first seen in a task. And (lang, n): a language's words (id null)."""
+def _named(shared, wanted):
+    """(id, word): where a wanted id's word was first seen in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, complete = shared.value
-        seen = np.zeros(len(table) + 1, bool)
-        seen[0] = True
-        totals: dict[str, int] = {}
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-        names = ["id", "lang", "word", "n"]
-        for data, lang, starts, keys, _, owner in _batches(batches, _Languages()):
-            for i, n in enumerate(np.bincount(owner, minlength=len(lang)).tolist()):
-                totals[lang[i]] = totals.get(lang[i], 0) + n
-            ids = _ids(keys, table, complete)
+        (table, complete), missing = shared.value, wanted.value.copy()
+        for data, _, starts, keys, _, owner in _batches(batches, _Languages()):
+            ids = _ids(keys, table, complete).astype(_U)
             known = ids & _OWN == 0
-            new = np.flatnonzero(~known | ~seen[np.where(known, ids, 0).astype(np.int64)])
+            new = np.flatnonzero(~known | missing[np.where(known, ids, 0).astype(np.int64)])
             own, at = np.unique(ids[new], return_index=True)
-            seen[own[own & _OWN == 0].astype(np.int64)] = True
-            places = new[at].tolist()
-            rows = [(i, lang[owner[p]], _text(data[: _end(data, starts, owner, p)], int(starts[p])), None) for i, p in zip(own.view(np.int64).tolist(), places, strict=True)]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-        rows = [(None, name, None, n) for name, n in totals.items()]
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+            missing[own[own & _OWN == 0].astype(np.int64)] = False
+            words = [_text(data[: _end(data, starts, p)], int(starts[p])) for p in new[at].tolist()]
+            yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(words, pa.string())], names=["id", "word"])
 
     return run
 
 
-def _end(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, place: int) -> int:
+def _end(data: np.ndarray, starts: np.ndarray, place: int) -> int:
     """Where the word at a place ends at the latest: where the next word of the chunk begins."""
     return int(starts[place + 1]) if place + 1 < len(starts) else len(data)
 
 
-def grams(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Phrases (ids, f) of 1 to ORDER words that occur `least` times or more; words (id, lang, word); languages
-    (lang, n) with all their words."""
-    context = docs.sparkSession.sparkContext
-    texts = docs.select(F.coalesce(column(text_col), F.lit("")).alias("text"), F.coalesce(column(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    # about four bytes a word; only the number of buckets depends on it
-    tokens = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 4
-    bits = _bits(tokens)
-    coarse = min(bits, FAN.bit_length() - 1)
-
-    words = cut(_gathered(texts.mapInArrow(_count_words(coarse), _PACKED), bits, coarse).mapInArrow(_frequent(least), "level int, n long, keys binary, counts binary"))
-    level, room = 64, TABLE
-    sizes = sorted(((r.level, r.n) for r in words.groupBy("level").agg(F.sum("n").alias("n")).collect()), reverse=True)
-    complete = sum(n for _, n in sizes) <= TABLE
-    for at, n in sizes:
-        if n > room:
-            break
-        level, room = at, room - n
-    kept = [np.frombuffer(bytes(r["keys"]), _U) for r in words.where(F.col("level") >= level).select("keys").toLocalIterator()]
-    table = np.sort(np.concatenate([np.zeros(0, _U), *kept]))
-    shared = context.broadcast((table, complete))
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, _ = shared.value
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                # all of these occur often enough; those beyond the table keep their key
-                ids = _ids(np.frombuffer(keys, _U), table, False).view(np.int64)
-                ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32))
-                yield pa.record_batch([pa.ListArray.from_arrays(ends, pa.array(ids)), pa.array(np.frombuffer(counts, np.int64))], names=["ids", "f"])
-
-    dealt = texts.mapInArrow(_count_runs(shared, coarse), _PACKED)
-    longer = _gathered(dealt, bits, coarse).mapInArrow(_phrases(least), "ids array<long>, f long")
-    found = words.select("keys", "counts").mapInArrow(single, "ids array<long>, f long").unionByName(longer)
-    seen = cut(texts.mapInArrow(_named(shared, least), "id long, lang string, word string, n long").groupBy("id", F.when(F.col("id").isNull(), F.col("lang")).alias("of")).agg(
-        F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n")
-    ))
-    return cut(found), seen.where("id IS NOT NULL").select("id", "lang", "word"), seen.where("id IS NULL").select("lang", "n")
+class Counts:
+    """What is counted in texts: `grams` (ids, f), the phrases of 1 to ORDER words that occur `least` times or more;
+    `words` (id, lang), the frequent words; `languages` (lang, n), each one's words. `texts` has what they
+    were counted in, `shared` the table of ids."""
+
+    def __init__(self, docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang"):
+        spark = docs.sparkSession
+        texts = docs.select(F.coalesce(column(text_col), F.lit("")).alias("text"), F.coalesce(column(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
+        # about four bytes a word; only the number of buckets depends on it
+        tokens = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 4
+        bits = _bits(tokens)
+        coarse = min(bits, FAN.bit_length() - 1)
+
+        counted = texts.mapInArrow(_count_words(coarse), _PACKED)
+        found = cut(_gathered(counted, bits, coarse).mapInArrow(_frequent(least), _WORDS))
+        self.languages = found.where("level IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+        names = self.languages.select("lang").toLocalIterator()
+        keyed = _Languages()
+        named = [(r.lang, int(keyed.of([r.lang]).view(np.int64)[0])) for r in names]
+        of_key = spark.createDataFrame(named, "lang string, lang_key long")
+
+        words = found.where("level IS NOT NULL")
+        level, room = 64, TABLE
+        sizes = sorted(((r.level, r.n) for r in words.groupBy("level").agg(F.sum("n").alias("n")).collect()), reverse=True)
+        complete = sum(n for _, n in sizes) <= TABLE
+        for at, n in sizes:
+            if n > room:
+                break
+            level, room = at, room - n
+        kept = [(bytes(r["keys"]), bytes(r["counts"])) for r in words.where(F.col("level") >= level).select("keys", "counts").toLocalIterator()]
+        keys, numbers = np.frombuffer(b"".join(k for k, _ in kept), _U), np.frombuffer(b"".join(c for _, c in kept), np.int64)
+        ids = np.empty(len(keys), np.uint32)
+        ids[np.lexsort((keys, -numbers))] = np.arange(1, len(keys) + 1, dtype=np.uint32)
+        order = np.argsort(keys)
+        self.table_size = len(keys)
+        self.texts, self.shared = texts, spark.sparkContext.broadcast(((keys[order], ids[order]), complete))
+        shared = self.shared
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, _ = shared.value
+            for batch in batches:
+                for langs, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("langs", "keys", "counts")), strict=True):
+                    # all of these occur often enough; those beyond the table keep their key
+                    own = _ids(np.frombuffer(keys, _U), table, False).view(np.int64)
+                    columns = [pa.array(own), pa.array(np.frombuffer(langs, np.int64)), pa.array(np.frombuffer(counts, np.int64))]
+                    yield pa.record_batch(columns, names=["id", "lang_key", "f"])
+
+        singles = words.select("langs", "keys", "counts").mapInArrow(single, "id long, lang_key long, f long")
+        self.words = singles.join(of_key, "lang_key").select("id", "lang")
+        dealt = texts.mapInArrow(_count_runs(shared, coarse), _PACKED)
+        longer = _gathered(dealt, bits, coarse).mapInArrow(_phrases(least), "ids array<long>, f long")
+        self.grams = cut(singles.select(F.array("id").alias("ids"), "f").unionByName(longer))
+
+    def named(self, phrases: DataFrame) -> DataFrame:
+        """(id, word) of the words of phrases (ids), from one more pass over the texts."""
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = np.unique(batch.column("ids").flatten().to_numpy())
+                yield pa.record_batch([pa.array([ids[ids > 0].tobytes()])], names=["ids"])
+
+        wanted = np.zeros(self.table_size + 1, bool)
+        for row in phrases.select("ids").mapInArrow(packed, "ids binary").toLocalIterator():
+            wanted[np.frombuffer(bytes(row["ids"]), np.int64)] = True
+        seen = self.texts.mapInArrow(_named(self.shared, self.texts.sparkSession.sparkContext.broadcast(wanted)), "id long, word string")
+        return seen.groupBy("id").agg(F.min("word").alias("word"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -538,16 +603,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP, tex
     count each. An empty table gives no rows. Other columns are ignored. Counts are exact but for 64-bit
     hashes of words that coincide; the score is worked out in decimals of 38 digits.
     """
-    found, words, languages = grams(docs, least, text_col, lang_col)
-    streams = _layout(found, 0).unionByName(_layout(found, 1))
-    order = ["ids", "side"]
-    merged = cut(streams.repartitionByRange("ids").sortWithinPartitions(*order).mapInArrow(_lockstep, "ids array<long>, f long, cuts array<struct<k: int, l: long, r: long>>"))
+    counts = Counts(docs, least, text_col, lang_col)
+    streams = _layout(counts.grams, 0).unionByName(_layout(counts.grams, 1))
+    merged = streams.repartitionByRange("ids").sortWithinPartitions("ids", "side").mapInArrow(_lockstep, "ids array<long>, f long, cuts array<struct<k: int, l: long, r: long>>")
 
-    rows = merged.withColumn("at", F.monotonically_increasing_id())
-    parts = rows.select("at", F.posexplode("ids").alias("place", "id")).join(words, "id")
-    phrase = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x.word), " ")
-    texts = parts.groupBy("at").agg(F.first("lang").alias("lang"), phrase.alias("phrase"))
-    scored = rows.join(texts, "at").join(languages, "lang")
+    scored = merged.join(counts.words, F.col("ids")[0] == F.col("id")).join(counts.languages, "lang")
     wide = lambda c: c.cast("decimal(19,0)")
     each = F.transform(
         "cuts",
@@ -555,9 +615,19 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP, tex
             F.call_function("div", F.lit(1000).cast("decimal(4,0)") * wide(F.col("f")) * wide(F.col("n")), wide(c.l) * wide(c.r)).alias("score"), c.k.alias("k"), c.l.alias("l"), c.r.alias("r")
         ),
     )
-    best = scored.select("lang", "phrase", F.col("f").alias("a"), "n", F.array_min(each).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    best = scored.select("lang", "ids", F.col("f").alias("a"), "n", F.array_min(each).alias("cut")).select("lang", "ids", "a", "cut.l", "cut.r", "n", "cut.score")
+    if top is not None:
+        # ties at the end of the list stay until their texts are known
+        place = F.rank().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc()))
+        best = best.withColumn("place", place).where(F.col("place") <= top).drop("place")
+    best = cut(best)
+
+    rows = best.withColumn("at", F.monotonically_increasing_id())
+    parts = rows.select("at", F.posexplode("ids").alias("place", "id")).join(counts.named(best), "id")
+    phrase = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x.word), " ")
+    ranked = rows.join(parts.groupBy("at").agg(phrase.alias("phrase")), "at")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase")))
-    ranked = best.withColumn("rank", rank)
+    ranked = ranked.withColumn("rank", rank)
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
