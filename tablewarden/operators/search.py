@@ -1,18 +1,27 @@
-"""Catalog search: ranked columns and documents for many queries at once, facets, name filter.
+"""Catalog search: an inverted index, ranked columns and documents for many queries at once, facets, name filter.
 
-A term matches wherever it occurs inside a longer word. Words of the searched texts are
-indexed by their three-character pieces; a term (three characters at least) can only occur
-in words that hold its first piece, so finding the words is an equi-join plus a check. Then
-matches are ordinary postings of words.
+Fields are (table_key, ordinal, column_name, text, table_text), where `text` is everything said about the
+column itself. Queries are (query_id, query). A term matches wherever it occurs inside a longer word.
 
-Fields are (table_key, ordinal, column_name, text, table_text), where `text` is everything
-said about the column itself. Queries are (query_id, query).
+The index holds each distinct word once, with its three-character pieces: a term (three characters at
+least) can only occur in words that hold its first piece, so finding the words is an equi-join plus a
+check. Postings are kept where a word is said: words that all columns of a table have in common (its
+name), and those of its description, belong to the table, the rest to columns. An index can be stored;
+its parts are dealt into folders by word, so a search reads the folders of its words.
+
+A search does not spread a table's hits over its columns, nor a frequent term's list over the queries that
+ask for it. Columns that a single term hits equally score the same, so of each list only the first `TOP_COLUMNS`
+can be among the best; and of the tables that nothing but themselves is hit in, only the `TOP_COLUMNS` best,
+and of each the first columns. Beyond these, only columns that two hits meet in are scored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.durable import cut
 from ..functions.generate import explode_once
 from ..functions.text import is_filled, search_runs, search_terms
 from .usage import is_orphan
@@ -22,6 +31,10 @@ NAME_WEIGHT, TEXT_WEIGHT, TABLE_WEIGHT = 2.0, 1.0, 0.25
 MIN_COLUMN_SCORE = 0.9
 TOP_COLUMNS, TOP_DOCUMENTS = 6, 2
 PIECE = 3
+# folders of a stored index
+BUCKETS = 64
+
+_COLUMN = ["table_key", "ordinal"]
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -41,13 +54,18 @@ def _postings(rows: DataFrame, key: list[str], text: Column) -> DataFrame:
     return explode_once(rows, F.array_distinct(search_runs(text)), "word", *key)
 
 
-def matching_words(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """(term, word) for every word that contains the term."""
+def word_pieces(words: DataFrame) -> DataFrame:
+    """(word, piece) for the distinct pieces of each distinct word."""
     cuts = F.transform(
         F.sequence(F.lit(1), F.length("word") - (PIECE - 1)),
         lambda i: F.substr("word", i, F.lit(PIECE)),
     )
-    pieces = explode_once(words.where(F.length("word") >= PIECE), F.array_distinct(cuts), "piece", "word")
+    long_enough = words.select("word").where(F.length("word") >= PIECE).distinct()
+    return explode_once(long_enough, F.array_distinct(cuts), "piece", "word")
+
+
+def matching_words(terms: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(term, word) for every word that contains the term."""
     return (
         terms.select("term", F.left("term", F.lit(PIECE)).alias("piece"))
         .join(pieces, "piece")
@@ -56,22 +74,109 @@ def matching_words(terms: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def _term_hits(terms: DataFrame, postings: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct (term, key) where some word of the row contains the term."""
-    words = matching_words(terms, postings.select("word").distinct())
-    return postings.join(words, "word").select("term", *key).distinct()
+# -- the index ----------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Index:
+    """`columns` (table_key, ordinal, column_name), `tables` (table_key, n_columns), `postings` (word, table_key, ordinal,
+    weight), `table_postings` (word, table_key, weight), `pieces` (word, piece)."""
+
+    columns: DataFrame
+    tables: DataFrame
+    postings: DataFrame
+    table_postings: DataFrame
+    pieces: DataFrame
+
+    PARTS = ("columns", "tables", "postings", "table_postings", "pieces")
+
+    def parts(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.PARTS}
+
+
+def build_index(fields: DataFrame) -> Index:
+    """The index of a catalog's fields, computed once and written to the session's shared folder.
+
+    Words of a table's key that all its columns' texts have are the table's, but for columns that have them in
+    their name. A null text says nothing.
+    """
+    words = search_runs(F.coalesce("text", F.lit("")))
+    said = cut(
+        fields.select(
+            *_COLUMN, "column_name", "table_text",
+            F.array_distinct(words).alias("words"),
+            F.array_distinct(search_runs(F.col("table_key"))).alias("key"),
+            F.array_distinct(search_runs(F.col("column_name"))).alias("name"),
+        )
+    )
+    columns = said.select(*_COLUMN, "column_name")
+    tables = cut(
+        said.groupBy("table_key").agg(
+            F.count(F.lit(1)).alias("n_columns"),
+            F.first("table_text", ignorenulls=True).alias("table_text"),
+            F.bool_and(F.size(F.array_except("key", "words")) == 0).alias("in_all"),
+        )
+    )
+    common = explode_once(
+        tables.where("in_all"), F.array_distinct(search_runs(F.col("table_key"))), "word", "table_key", F.lit(TEXT_WEIGHT).alias("weight")
+    )
+    described = _postings(tables, ["table_key"], F.coalesce("table_text", F.lit(""))).withColumn("weight", F.lit(TABLE_WEIGHT))
+    table_postings = cut(common.unionByName(described).select("word", "table_key", "weight"))
+    own = F.when(F.col("in_all"), F.array_except("words", F.array_except("key", "name"))).otherwise(F.col("words"))
+    # a term in the name is also in the text, since the text includes the name
+    postings = cut(
+        explode_once(said.join(tables.select("table_key", "in_all"), "table_key"), own, "word", *_COLUMN, "name")
+        .select("word", *_COLUMN, F.when(F.array_contains("name", F.col("word")), NAME_WEIGHT).otherwise(TEXT_WEIGHT).alias("weight"))
+    )
+    pieces = cut(word_pieces(postings.select("word").unionByName(table_postings.select("word"))))
+    return Index(columns, tables.select("table_key", "n_columns"), postings, table_postings, pieces)
+
+
+def save_index(index: Index, path: str) -> None:
+    """Writes an index; parts that are searched by word lie in a folder for each bucket of words."""
+    for name, part in index.parts().items():
+        key = "piece" if name == "pieces" else "word"
+        if key in part.columns:
+            bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+            part.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        else:
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}").drop("bucket") for name in Index.PARTS])
+
+
+# -- columns ------------------------------------------------------------------------------------------
+
 
+@dataclass(frozen=True)
+class _Hits:
+    """`tables` (term, table_key, weight), and `own` (term, table_key, ordinal, weight, said) where a column's weight is
+    more than `said`, what the table has (0 if nothing)."""
 
-def column_hits(terms: DataFrame, fields: DataFrame) -> DataFrame:
-    """Distinct (term, table_key, ordinal, column_name) where the column's text contains the term."""
-    key = ["table_key", "ordinal", "column_name"]
-    return _term_hits(terms.select("term").distinct(), _postings(fields, key, F.col("text")), key)
+    own: DataFrame
+    tables: DataFrame
 
 
-def term_weights(terms: DataFrame, hits: DataFrame, fields: DataFrame) -> DataFrame:
+def _hits(terms: DataFrame, index: Index) -> _Hits:
+    words = cut(matching_words(terms.select("term").distinct(), index.pieces))
+    best = F.max("weight").alias("weight")
+    own = index.postings.join(words, "word").groupBy("term", *_COLUMN).agg(best)
+    tables = cut(index.table_postings.join(words, "word").groupBy("term", "table_key").agg(best))
+    # what the table says as loudly is no hit of the column's own
+    said = tables.select("term", "table_key", F.col("weight").alias("said"))
+    own = own.join(said, ["term", "table_key"], "left").withColumn("said", F.coalesce("said", F.lit(0.0)))
+    return _Hits(cut(own.where("weight > said")), tables)
+
+
+def term_weights(terms: DataFrame, hits: _Hits, index: Index) -> DataFrame:
     """Rarity of every query term over the column texts: (term, idf). Unseen terms included."""
-    total = fields.agg(F.count(F.lit(1)).alias("n")).scalar()
-    seen = hits.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    total = index.tables.agg(F.coalesce(F.sum("n_columns"), F.lit(0)).alias("n")).scalar()
+    whole = hits.tables.where(F.col("weight") >= TEXT_WEIGHT).select("term", "table_key")
+    by_table = whole.join(index.tables, "table_key").select("term", F.col("n_columns").alias("n"))
+    by_column = hits.own.join(whole, ["term", "table_key"], "left_anti").select("term", F.lit(1).cast("long").alias("n"))
+    seen = by_table.unionByName(by_column).groupBy("term").agg(F.sum("n").alias("seen"))
     return (
         terms.select("term").distinct().join(seen, "term", "left").select(
             "term", (F.log((total + 1) / (F.coalesce("seen", F.lit(0)) + 1)) + 1).alias("idf")
@@ -84,54 +189,78 @@ def _top(scored: DataFrame, limit: int, *tie: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def search_columns(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    """Six best columns per query: (query_id, rank, table_key, column_name, score)."""
-    terms = query_terms(queries)
-    key = ["table_key", "ordinal"]
-    hits = column_hits(terms, fields)
-    # A term in the name is also in the text, since the text includes the name.
-    weighed = hits.select(
-        "term", *key,
-        F.when(F.lower("column_name").contains(F.col("term")), NAME_WEIGHT).otherwise(TEXT_WEIGHT).alias("weight"),
-    )
-    tables = fields.groupBy("table_key").agg(F.first("table_text", ignorenulls=True).alias("table_text"))
-    in_table = (
-        _term_hits(terms.select("term").distinct(), _postings(tables, ["table_key"], F.coalesce("table_text", F.lit(""))), ["table_key"])
-        .join(fields.select(*key), "table_key")
-        .select("term", *key, F.lit(TABLE_WEIGHT).alias("weight"))
-    )
-    best = (
-        weighed.unionByName(in_table)
-        .groupBy("term", *key)
-        .agg(F.max("weight").alias("weight"))
-    )
-    scored = (
-        best.join(terms.join(term_weights(terms, hits, fields), "term"), "term")
-        .groupBy("query_id", "n_terms", *key)
-        .agg(
-            F.sum(F.col("weight") * F.col("idf") * F.col("times")).alias("raw"),
-            F.sum("times").alias("matched"),
-        )
-        .withColumn("score", F.col("raw") * F.col("matched") / F.col("n_terms"))
+def _score() -> Column:
+    """Of the sums of a query's matched terms."""
+    return F.col("raw") * F.col("matched") / F.col("n_terms")
+
+
+def _meetings(asked: DataFrame, hits: _Hits) -> DataFrame:
+    """(query_id, table_key, ordinal) of columns in which two terms of a query meet, or that are first in a term's list."""
+    pair = ["query_id", *_COLUMN]
+    place = F.row_number().over(Window.partitionBy("term", "weight").orderBy(*_COLUMN))
+    first = hits.own.withColumn("place", place).where(F.col("place") <= TOP_COLUMNS).select("term", *_COLUMN)
+    alone = first.join(asked.select("query_id", "term"), "term").select(*pair)
+    side = lambda n: hits.own.select(F.col("term").alias(n), *_COLUMN)
+    wanted = asked.select("query_id", F.col("term").alias("one")).join(asked.select("query_id", F.col("term").alias("two")), "query_id").where("one < two")
+    both = side("one").join(side("two"), _COLUMN).join(wanted, ["one", "two"]).select(*pair)
+    return alone.unionByName(both).distinct()
+
+
+def _scored(asked: DataFrame, hits: _Hits, index: Index) -> DataFrame:
+    """(query_id, table_key, ordinal, score) of all columns that can be among a query's best.
+
+    A column has its table's sums, to which each term adds by what the column has more of it. Columns that are
+    scored in two ways count by the better, which is the one that saw all hits."""
+    raw, matched = F.col("weight") * F.col("idf") * F.col("times"), F.col("times")
+    tables = hits.tables.join(asked, "term").groupBy("query_id", "n_terms", "table_key").agg(F.sum(raw).alias("raw"), F.sum(matched).alias("matched"))
+    tables = cut(tables.withColumn("score", _score()))
+    # tables by themselves: the best, and of each the first columns
+    best = _top(tables.where(F.col("score") > MIN_COLUMN_SCORE), TOP_COLUMNS, "table_key").select("query_id", "table_key", "score")
+    place = F.row_number().over(Window.partitionBy("query_id", "table_key").orderBy("ordinal"))
+    head = best.join(index.columns.select(*_COLUMN), "table_key").withColumn("place", place).where(F.col("place") <= TOP_COLUMNS)
+    # hits of a column, in tables that are hit as well and where hits meet
+    in_tables = tables.select("query_id", "table_key", F.col("raw").alias("table_raw"), F.col("matched").alias("table_matched")).join(hits.own, "table_key")
+    alone = _meetings(asked, hits).join(hits.own, _COLUMN).withColumns({"table_raw": F.lit(0.0), "table_matched": F.lit(0).cast("long")})
+    more = (F.col("weight") - F.col("said")) * F.col("idf") * F.col("times")
+    columns = (
+        in_tables.unionByName(alone).join(asked, ["query_id", "term"])
+        .groupBy("query_id", "n_terms", *_COLUMN, "table_raw", "table_matched")
+        .agg(F.sum(more).alias("more"), F.sum(F.when(F.col("said") == 0, F.col("times")).otherwise(0)).alias("new"))
+        .select("query_id", "n_terms", *_COLUMN, (F.col("table_raw") + F.col("more")).alias("raw"), (F.col("table_matched") + F.col("new")).alias("matched"))
+        .select("query_id", *_COLUMN, _score().alias("score"))
         .where(F.col("score") > MIN_COLUMN_SCORE)
     )
+    found = head.select("query_id", *_COLUMN, "score").unionByName(columns)
+    return found.groupBy("query_id", *_COLUMN).agg(F.max("score").alias("score"))
+
+
+def search_columns(queries: DataFrame, index: Index | DataFrame) -> DataFrame:
+    """Six best columns per query: (query_id, rank, table_key, column_name, score). Takes an index, or fields."""
+    index = index if isinstance(index, Index) else build_index(index)
+    terms = cut(query_terms(queries))
+    hits = _hits(terms, index)
+    asked = cut(terms.join(term_weights(terms, hits, index), "term"))
     return (
-        _top(scored, TOP_COLUMNS, "table_key", "ordinal")
-        .join(fields.select(*key, "column_name"), key)
+        _top(_scored(asked, hits, index), TOP_COLUMNS, *_COLUMN)
+        .join(index.columns, _COLUMN)
         .select("query_id", "rank", "table_key", "column_name", "score")
     )
 
 
-def search_documents(queries: DataFrame, documents: DataFrame, fields: DataFrame) -> DataFrame:
-    """Two best documents (doc_id, text) per query, by the summed rarity of contained terms."""
-    terms = query_terms(queries)
-    hits = _term_hits(terms.select("term").distinct(), _postings(documents, ["doc_id"], F.col("text")), ["doc_id"])
-    weights = term_weights(terms, column_hits(terms, fields), fields)
-    scored = (
-        hits.join(terms.join(weights, "term"), "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("idf") * F.col("times")).alias("score"))
-    )
+# -- documents ----------------------------------------------------------------------------------------
+
+
+def search_documents(queries: DataFrame, documents: DataFrame, index: Index | DataFrame) -> DataFrame:
+    """Two best documents (doc_id, text) per query, by the summed rarity of contained terms, which a catalog's
+    index (or fields) tells."""
+    index = index if isinstance(index, Index) else build_index(index)
+    terms = cut(query_terms(queries))
+    asked = cut(terms.join(term_weights(terms, _hits(terms, index), index), "term"))
+    # words of all texts are cut out once
+    said = cut(_postings(documents, ["doc_id"], F.col("text")))
+    words = matching_words(terms.select("term").distinct(), word_pieces(said))
+    hits = said.join(words, "word").select("term", "doc_id").distinct()
+    scored = hits.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("times")).alias("score"))
     return _top(scored, TOP_DOCUMENTS, "doc_id").select("query_id", "rank", "doc_id", "score")
 
 
