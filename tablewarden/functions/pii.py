@@ -96,6 +96,16 @@ def classify_value(value: str) -> str:
     return _value_label(is_email(value), has_cpf_shape(value), verified, is_phone(value))
 
 
+def value_rules(value: str) -> dict[str, str]:
+    """Each value rule by the label it gives, as a test of one value."""
+    return {
+        "email": is_email(value),
+        "national_id_shape": has_cpf_shape(value),
+        "national_id_verified": f"CASE WHEN {has_cpf_shape(value)} THEN {cpf_is_valid(value)} END",
+        "phone": is_phone(value),
+    }
+
+
 def classify_values(value: str) -> str:
     """Aggregate label of a text column: a rule counts only if every non-null value obeys it.
 

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.pii import SAMPLE_ROWS, classify_by_name, classify_values, is_textual, sample_text
+from ..functions.pii import SAMPLE_ROWS, classify_by_name, classify_values, is_textual, sample_text, value_rules
 from ..sources.registry import TableSource
 
 TABLE_KEY = ["table_catalog", "table_schema", "table_name"]
@@ -104,6 +104,62 @@ def profile_tables(tables: list[TableSource], values: bool = True) -> DataFrame:
     return union_all([profile_table(t, values) for t in tables])
 
 
+def distinct_sketches(tables: list[TableSource], part: str | None = None) -> DataFrame:
+    """Mergeable distinct counts: (table key, part, column_name, sketch), one scan a table.
+
+    `part` is an expression that splits the rows, as days or partitions do; sketches of new parts are added
+    to stored ones, so that old rows need not be read again (`merged_distinct`).
+    """
+    frames = []
+    for table in tables:
+        fields = [f for f in table.data.schema.fields if _is_orderable(f.dataType)]
+        sketches = ", ".join(
+            f"named_struct('column_name', {literal(f.name)}, 'sketch', "
+            f"hll_sketch_agg(if({quoted(f.name)} IS NULL, NULL, xxhash64({quoted(f.name)})), {SKETCH_SIZE}))"
+            for f in fields
+        )
+        split = table.data.withColumn("_part", F.expr(f"CAST({part} AS STRING)" if part else "CAST(NULL AS STRING)"))
+        found = split.groupBy("_part").agg(F.expr(f"array({sketches})").alias("stats"))
+        frames.append(found.selectExpr(*_key(table), "_part AS part", "inline(stats)"))
+    return union_all(frames)
+
+
+def merged_distinct(sketches: DataFrame) -> DataFrame:
+    """Distinct count per column over all parts: (table key, column_name, distinct_count)."""
+    return sketches.groupBy(*TABLE_KEY, "column_name").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_count")
+    )
+
+
+def value_matches(tables: list[TableSource]) -> DataFrame:
+    """How many values of each text column obey each value rule: (table key, column_name, rule, matches, non_null).
+
+    Counts of parts or scans add up, and one odd value among very many shows as a share instead of taking the
+    column's label away.
+    """
+    frames = []
+    for table in tables:
+        names = [f.name for f in table.data.schema.fields if is_textual(f.dataType)]
+        if not names:
+            continue
+        counts = ", ".join(
+            f"named_struct('column_name', {literal(n)}, 'rule', {literal(rule)}, 'matches', count_if({test}), 'non_null', count({quoted(n)}))"
+            for n in names
+            for rule, test in value_rules(quoted(n)).items()
+        )
+        frames.append(table.data.selectExpr(f"array({counts}) AS stats").selectExpr(*_key(table), "inline(stats)"))
+    return union_all(frames)
+
+
+def match_shares(matches: DataFrame) -> DataFrame:
+    """Counts of `value_matches` added up, with `share`; NULL where a column has no value."""
+    return (
+        matches.groupBy(*TABLE_KEY, "column_name", "rule")
+        .agg(F.sum("matches").alias("matches"), F.sum("non_null").alias("non_null"))
+        .withColumn("share", F.try_divide("matches", "non_null"))
+    )
+
+
 def with_pii(profile: DataFrame) -> DataFrame:
     """Add the name verdict and the combined candidate flag."""
     return profile.withColumn("pii_by_name", classify_by_name(F.col("column_name"))).withColumn(

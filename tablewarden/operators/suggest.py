@@ -98,6 +98,24 @@ def agreement(by_pattern: Column, by_model: Column) -> Column:
     )
 
 
+# The labels a model may give.
+MODEL_LABELS = [
+    "none", "person_name", "national_id", "email", "phone", "birth_date", "address", "network_id", "other_pii",
+]
+
+
+def known_label(said: Column) -> Column:
+    """A model's label if it is one of the closed set, whatever its case and the blanks around it, else NULL: a
+    misspelt label is no verdict."""
+    label = F.lower(F.trim(said))
+    return F.when(label.isin(MODEL_LABELS), label)
+
+
+def wrong_types(suggestions: DataFrame) -> DataFrame:
+    """Columns whose type the model calls wrong, with their description: (table key, column_name, suggested_comment)."""
+    return suggestions.where("type_looks_wrong").select(*TABLE_KEY, "column_name", "suggested_comment")
+
+
 def _cut(text: Column) -> Column:
     return F.left(F.coalesce(text, F.lit("")), F.lit(DESCRIPTION_CHARS))
 
@@ -132,7 +150,7 @@ def ingest(
         "column_name",
         _cut(said["description"]).alias("suggested_comment"),
         pattern_label().alias("pii_by_regex"),
-        said["pii"].alias("pii_by_llm"),
+        known_label(said["pii"]).alias("pii_by_llm"),
         agreement(pattern_label(), said["pii"]).alias("pii_agreement"),
         F.coalesce(said["type_looks_wrong"], F.lit(False)).alias("type_looks_wrong"),
         F.col("is_pii_candidate").alias("values_withheld"),

@@ -8,16 +8,17 @@ only those distinct names are joined to the registry.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.generate import explode_once
 from ..functions.moments import moment, whole_days_between
 from .profile import TABLE_KEY
 
-# Every statement the audit runs carries this comment, so that its own reads can be told
-# from everybody else's by what they are and not by when they ran.
+# A comment that travels with the engine's own statements; reads that carry it are nobody's use of a table.
 MARKER = "tablewarden-scan"
 # Look-back of the log and age after which a table counts as abandoned.
 LOOK_BACK_DAYS = 365
@@ -34,6 +35,28 @@ def marked(statement: str) -> str:
     return f"/* {MARKER} */ {statement}"
 
 
+LOG_DDL = "start_time timestamp_ntz, statement_type string, statement_text string"
+
+
+def own_statements(spark: SparkSession, names: list[tuple[str, str, str]], at: datetime) -> DataFrame:
+    """The log rows of an audit's own reads of tables, marked as such."""
+    rows = [(at, "SELECT", marked(f"SELECT * FROM {'.'.join(f'`{part}`' for part in name)}")) for name in names]
+    return spark.createDataFrame(rows, LOG_DDL)
+
+
+@contextmanager
+def as_own_reads(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside carry the marker as a tag and in their description, where job listings show it."""
+    context = spark.sparkContext
+    context.addJobTag(MARKER)
+    context.setJobDescription(marked("audit"))
+    try:
+        yield
+    finally:
+        context.removeJobTag(MARKER)
+        context.setJobDescription(None)
+
+
 def foreign_reads(log: DataFrame, asof: datetime, mentions: list[str], later: bool = False) -> DataFrame:
     """SELECTs of the look-back window, up to `asof`, that mention a catalog and are not the audit's own.
 
@@ -62,16 +85,16 @@ def latest_by_name(reads: DataFrame) -> DataFrame:
     """Latest time per distinct dotted name found in the statements.
 
     A name of three parts may be a table's in a catalog or a column's of a table, so its first two
-    parts count as well.
+    parts count as well. They are added to the distinct names, not to each statement's.
     """
     found = F.transform(
-        F.regexp_extract_all("statement_text", F.lit(_DOTTED_NAME), F.lit(0)),
+        F.array_distinct(F.regexp_extract_all("statement_text", F.lit(_DOTTED_NAME), F.lit(0))),
         lambda n: F.replace(F.regexp_replace(n, r"\s*\.\s*", "."), F.lit("`"), F.lit("")),
     )
-    names = F.concat(found, F.transform(found, lambda n: F.substring_index(n, ".", 2)))
+    named = _latest(explode_once(reads, found, "mentioned_name", "start_time"), ["mentioned_name"])
+    shorter = named.select(F.substring_index("mentioned_name", ".", 2).alias("mentioned_name"), "last_read_at")
     return _latest(
-        explode_once(reads, F.array_distinct(names), "mentioned_name", "start_time"),
-        ["mentioned_name"],
+        named.unionByName(shorter.where("mentioned_name IS NOT NULL")).withColumnRenamed("last_read_at", "start_time"), ["mentioned_name"]
     )
 
 

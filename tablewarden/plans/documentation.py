@@ -60,14 +60,14 @@ def save(
     run: Run, root: str, run_id: str, scan_id: str, model: str, started_at: datetime, finished_at: datetime,
     prompt_tokens: int = 0, completion_tokens: int = 0, cost: float | None = None, applied: bool = False,
 ) -> None:
-    """Appends a run to the meta tables; its counters are taken from the suggestions."""
+    """Adds a run to the meta tables; its counters are taken from the suggestions. The run's row is written last,
+    and saving the same run again leaves one copy."""
     stamp = {"run_id": F.lit(run_id), "scan_id": F.lit(scan_id), "generated_at": moment(finished_at)}
     store.append(run.suggestions.withColumns(stamp | {"model": F.lit(model)}), root, "suggestions")
     store.append(run.descriptions.withColumns(stamp), root, "table_descriptions")
     counted = run.counters(()).withColumns(
-        stamp
-        | {
-            "model": F.lit(model), "started_at": moment(started_at), "finished_at": moment(finished_at),
+        {
+            "run_id": F.lit(run_id), "scan_id": F.lit(scan_id), "model": F.lit(model), "started_at": moment(started_at), "finished_at": moment(finished_at),
             "prompt_tokens": F.lit(prompt_tokens), "completion_tokens": F.lit(completion_tokens),
             "est_cost_usd": F.lit(cost).cast("double"), "applied": F.lit(applied),
         }

@@ -486,6 +486,21 @@ columns_ AS (
 SELECT k AS table_catalog, round(documentation, 6) AS documentation, round(pii_governance, 6) AS pii_governance,
   round(freshness, 6) AS freshness, round(column_quality, 6) AS column_quality, round(delta_hygiene, 6) AS delta_hygiene,
   round(overall, 6) AS overall, CAST(round_even(overall * 100, 0) AS INTEGER) AS score FROM scores"""
+ORACLES["lake_severities"] = f"""WITH {CONTACTS}, {LEGACY}, {_LAKE_LOG},
+seen AS (SELECT n, max(ts) AS r FROM (SELECT unnest([{_LAKE_NAMES}]) AS n) LEFT JOIN log ON t = n GROUP BY 1),
+counted AS (
+  SELECT 'lake.' || table_schema || '.' || table_name AS table_key, table_name,
+    count(*) FILTER ({_name_label('column_name')} IS NOT NULL OR pii_by_value IS NOT NULL) AS pii,
+    count(*) FILTER (is_constant OR (row_count > 0 AND null_count = row_count)) AS dead
+  FROM ({_profile(ALL_TABLES, labels=True)}) GROUP BY 1, 2)
+SELECT table_key, 'high' AS severity, pii || ' personal-data column' || CASE WHEN pii = 1 THEN '' ELSE 's' END AS finding FROM counted WHERE pii > 0
+UNION ALL SELECT table_key, 'medium', 'never read' FROM counted JOIN seen ON n = table_name WHERE r IS NULL OR epoch(TIMESTAMP '2024-04-15' - r) >= 91 * 86400
+UNION ALL SELECT table_key, 'low', dead || ' dead column' || CASE WHEN dead = 1 THEN '' ELSE 's' END FROM counted WHERE dead > 0"""
+# every given table is one file
+ORACLES["file_fragments"] = "\nUNION ALL ".join(
+    f"SELECT '{SCHEMA_OF[t]}' AS table_schema, '{t}' AS table_name, false AS fragmented" for t in COLUMNS
+)
+ORACLES["merged_distinct"] = ORACLES["approx_distinct"]
 ORACLES["undocumented"] = _estate(
     "SELECT k AS table_catalog, n_tables - documented_tables AS undocumented_tables, "
     "n_columns - documented_columns AS undocumented_columns, pii_columns - pii_documented AS undocumented_pii FROM measures",
@@ -500,6 +515,16 @@ ORACLES["pii_by_value"] = (
     f"WITH {CONTACTS} SELECT table_name, column_name, pii_by_value FROM "
     f"({_profile({**COLUMNS, 'contacts': CONTACT_COLUMNS}, labels=True)}) WHERE is_text"
 )
+_RULES = {
+    "email": _email, "national_id_shape": _cpf_shape, "national_id_verified": lambda v: f"{_cpf_shape(v)} AND {_cpf_valid(v)}", "phone": _phone,
+}
+ORACLES["pii_value_shares"] = f"WITH {CONTACTS} SELECT *, round(matches / nullif(non_null, 0), 9) AS share FROM (" + "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c[:-1]}' AS column_name, '{rule}' AS rule, count(*) FILTER ({test(c[:-1])}) AS matches, count({c[:-1]}) AS non_null FROM {t}"
+    for t, names in {**COLUMNS, "contacts": CONTACT_COLUMNS}.items()
+    for c in names.split()
+    if c.endswith("*")
+    for rule, test in _RULES.items()
+) + ")"
 ORACLES["pii_token_scan"] = (
     "SELECT lang, label, count(*) AS words FROM (SELECT lang, " + _value_label("w") + " AS label FROM ("
     "SELECT lang, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents)) WHERE label IS NOT NULL GROUP BY 1, 2"
@@ -702,6 +727,9 @@ ORACLES["suggestion_ingest"] = _estate(
   CASE WHEN system IS NOT NULL THEN replace(p_name, ' ', ', ') END AS doc_matched_terms,
   system IS NOT NULL AND line_lo <= 2 AS grounded_in_docs, described_pt AS suggested_comment_pt FROM columns_"""
 )
+ORACLES["wrong_type_columns"] = _estate(
+    "SELECT table_catalog, table_schema, table_name, column_name, described AS suggested_comment FROM columns_ WHERE line_hi = 7"
+)
 ORACLES["table_descriptions"] = _estate(
     "SELECT table_catalog, table_schema, table_name, CASE WHEN p_size <= 30 AND table_key IN (SELECT table_key FROM columns_) "
     "THEN ' All ' || p_name || 's \\ ''x'' ' END AS description, CAST(NULL AS VARCHAR) AS description_pt, is_writable AS applied FROM tables"

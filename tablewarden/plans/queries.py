@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import pii, text
+from ..functions.durable import cut
 from ..functions.generate import explode_once
 from ..functions.moments import moment
 from ..operators import findings, profile as profiling, retrieval, rollups, runs, search, suggest, usage
@@ -77,6 +78,33 @@ def file_hygiene(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def file_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Which tables are fragmented, whatever the exact sizes of their files."""
+    return file_hygiene(spark, d).select("table_schema", "table_name", "fragmented")
+
+
+def lake_severities(spark: SparkSession, d: str) -> DataFrame:
+    """What the audit of the lake finds: table, severity, finding."""
+    return lake_findings(spark, d).select("table_key", "severity", "finding")
+
+
+def merged_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct counts merged from stored sketches of four parts of each table, against exact ones."""
+    tables = lake.tables(spark, d)
+    sketches = profiling.union_all(
+        [profiling.distinct_sketches([t], f"pmod(xxhash64({t.data.columns[0]}), 4)") for t in tables]
+    )
+    error = F.abs(F.col("distinct_count") - F.col("exact_distinct"))
+    return (
+        profiling.merged_distinct(cut(sketches))
+        .join(profiling.exact_distinct(tables), [*TABLE_KEY, "column_name"])
+        .select(
+            "table_schema", "table_name", "column_name",
+            (error <= F.greatest(F.col("exact_distinct") * 0.2, F.lit(1))).alias("within_tolerance"),
+        )
+    )
+
+
 def lake_findings(spark: SparkSession, d: str) -> DataFrame:
     """The whole audit of the lake: scan, last reads, file hygiene, ranked findings."""
     tables = [*lake.tables(spark, d), lake.contacts(spark, d), lake.legacy_orders(spark, d)]
@@ -122,6 +150,13 @@ def pii_by_value(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def pii_value_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How many values of each text column obey each value rule."""
+    tables = [*lake.tables(spark, d), lake.contacts(spark, d)]
+    shares = profiling.match_shares(profiling.value_matches(tables))
+    return shares.select("table_name", "column_name", "rule", "matches", "non_null", F.round("share", 9).alias("share"))
+
+
 def pii_token_scan(spark: SparkSession, d: str) -> DataFrame:
     """Value rules on every word of every document."""
     words = explode_once(read(spark, d, "documents"), F.split("text", r"\s+"), "word", "lang")
@@ -430,6 +465,11 @@ def suggestion_ingest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def wrong_type_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns whose type the model calls wrong."""
+    return suggest.wrong_types(suggest.ingest(_scan(spark, d), estate.responses(spark, d)))
+
+
 def table_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return suggest.table_descriptions(
         registry.tables_in_scope(estate.registry(spark, d)), estate.responses(spark, d), apply=True
@@ -704,6 +744,6 @@ QUERIES = {
         comment_statements, provenance, doc_usage, latest_run, run_diff, run_counters,
         before_after_score, run_cost, catalog_search, document_search, facets, name_filter,
         localized_text, meta_evolution, curated_filter, monthly_rollup, top_months, avg_by_group,
-        join_agg, top_groups,
+        join_agg, top_groups, file_fragments, lake_severities, merged_distinct, pii_value_shares, wrong_type_columns,
     ]
 }

@@ -150,30 +150,51 @@ def is_fragmented(num_files: Column, size_bytes: Column) -> Column:
     return (files > 1) & (F.try_divide(size, files) < SMALL_FILE_BYTES)
 
 
+FILE_STATS_DDL = (
+    "table_catalog string, table_schema string, table_name string, size_bytes bigint, num_files bigint, "
+    "files_altered timestamp_ntz"
+)
+
+
+def qualified(spark: SparkSession, location: str) -> str:
+    """A location as file listings spell it, with its file system's scheme and authority."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+
+
 def file_stats(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
-    """Bytes and data files per table that has a location, from listings of its folder, which the
-    driver makes table by table; no file content is read."""
-    listings = [
+    """Bytes, data files and their latest change per table that has a location; no file content is read.
+
+    All roots are one listing, which Spark spreads over tasks when they are many. A file belongs to the
+    table whose location is the longest of those that it lies below, so tables may lie inside each
+    other's folders; tables that share a location all have its files.
+    """
+    located = [(t.catalog, t.schema, t.name, qualified(spark, t.location)) for t in tables if t.location]
+    if not located:
+        return metadata_frame(spark, [], FILE_STATS_DDL)
+    files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
-        .load(t.location)
-        .select(
-            F.lit(t.catalog).alias("table_catalog"),
-            F.lit(t.schema).alias("table_schema"),
-            F.lit(t.name).alias("table_name"),
-            "length",
+        .load(sorted({row[3] for row in located}))
+        .select("path", "length", "modificationTime")
+    )
+    roots = metadata_frame(spark, located, "table_catalog string, table_schema string, table_name string, location string")
+    # a path and all folders above it
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    homes = (
+        files.select("path", "length", "modificationTime", F.explode(above).alias("location"))
+        .join(roots.select("location").distinct(), "location")
+        .groupBy("path")
+        .agg(
+            F.max_by("location", F.length("location")).alias("location"), F.first("length").alias("length"),
+            F.first("modificationTime").alias("altered"),
         )
-        for t in tables
-        if t.location
-    ]
-    if not listings:
-        return metadata_frame(spark, [], "table_catalog string, table_schema string, table_name string, size_bytes bigint, num_files bigint")
-    files = listings[0]
-    for listing in listings[1:]:
-        files = files.unionByName(listing)
-    return files.groupBy("table_catalog", "table_schema", "table_name").agg(
-        F.sum("length").alias("size_bytes"), F.count(F.lit(1)).alias("num_files")
+    )
+    return homes.join(roots, "location").groupBy("table_catalog", "table_schema", "table_name").agg(
+        F.sum("length").alias("size_bytes"), F.count(F.lit(1)).alias("num_files"),
+        F.max("altered").cast("timestamp_ntz").alias("files_altered"),
     )
 
 

@@ -3,6 +3,9 @@
 Tables are Parquet directories under a root the caller names, so the audited lake and the
 inventory can live apart. Each is partitioned by its run key, so reading one scan prunes to
 one directory.
+
+Saving is repeatable: the rows of a run replace that run's directory, and a run's row is only added if it
+is not there yet. So a save that failed halfway is done again, and one done twice leaves one copy.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ SCHEMAS = {
     "model_runs": (
         "run_id string, scan_id string, started_at timestamp_ntz, finished_at timestamp_ntz, "
         "model string, tables_processed int, columns_documented int, prompt_tokens bigint, "
-        "completion_tokens bigint, est_cost_usd double, applied boolean"
+        "completion_tokens bigint, est_cost_usd double, applied boolean, tables_grounded int, comments_staged int"
     ),
 }
 # The two run tables hold one row per run and stay unpartitioned.
@@ -60,7 +63,13 @@ def schema_of(table: str) -> T.StructType:
 
 
 def conform(rows: DataFrame, table: str) -> DataFrame:
-    """Rows with exactly the table's columns and types; columns added since are NULL."""
+    """Rows with exactly the table's columns and types; columns added since are NULL.
+
+    A column that the table does not know is an error, as dropping it would lose it unnoticed.
+    """
+    unknown = sorted(set(rows.columns) - set(schema_of(table).names))
+    if unknown:
+        raise ValueError(f"{table} has no column {', '.join(unknown)}")
     return rows.select(
         *[
             (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -69,12 +78,26 @@ def conform(rows: DataFrame, table: str) -> DataFrame:
     )
 
 
+# The key of the tables that hold one row per run.
+ROW_KEYS = {"scan_runs": "scan_id", "model_runs": "run_id"}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
 def append(rows: DataFrame, root: str, table: str) -> None:
-    """Append rows to a meta table, creating it when absent."""
-    writer = conform(rows, table).write.mode("append")
+    """Add runs to a meta table, creating it when absent. A run that is there already is not there twice."""
+    conformed, path = conform(rows, table), f"{root}/{table}"
     if table in RUN_KEYS:
-        writer = writer.partitionBy(RUN_KEYS[table])
-    writer.parquet(f"{root}/{table}")
+        writer = conformed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(RUN_KEYS[table]).parquet(path)
+        return
+    if exists(rows.sparkSession, path):
+        stored = read(rows.sparkSession, root, table).select(ROW_KEYS[table])
+        conformed = conformed.join(stored, ROW_KEYS[table], "left_anti").select(*schema_of(table).names)
+    conformed.write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, root: str, table: str, run: str | None = None) -> DataFrame:
