@@ -16,6 +16,6 @@ def packed(names: list[str]) -> Column:
 
 
 def schema(rows: DataFrame, name: str, before: str = "", after: str = "") -> T.StructType:
-    """Columns `before`, the struct column `name` of `rows` as it is, columns `after`; both as DDL."""
+    """Columns `before`, the column `name` of `rows` with its type (it may be null), columns `after`; both as DDL."""
     fields = [list(T.StructType.fromDDL(ddl).fields) if ddl else [] for ddl in (before, after)]
-    return T.StructType([*fields[0], rows.schema[name], *fields[1]])
+    return T.StructType([*fields[0], T.StructField(name, rows.schema[name].dataType), *fields[1]])
