@@ -7,7 +7,8 @@ window's first and last word is in it, and then if the whole window is, word for
 shuffled, and documents' windows are never rows.
 
 The hash set is only used while it holds at most MAX_WINDOWS windows and MAX_CHARS characters.
-Beyond that the windows of documents become rows and are joined with those of the benchmark.
+Beyond that positions of documents become rows, of a hash only and for the lengths that windows have, which are
+joined with those of the benchmark; what meets is compared word for word.
 """
 
 from __future__ import annotations
@@ -63,22 +64,27 @@ def _by_hash_set(packed: DataFrame, known: list) -> DataFrame:
     return packed.select("row", "words", F.expr(spans).alias("spans"))
 
 
-def _by_join(packed: DataFrame, known: DataFrame, n: int) -> DataFrame:
+def _by_join(packed: DataFrame, known: DataFrame) -> DataFrame:
+    """Positions become narrow rows, of a hash only, for the lengths that windows have; hits are then read again."""
     rows = packed.select(F.monotonically_increasing_id().alias("at"), "row", "words")
-    lengths = F.sequence(F.lit(1), F.least(F.lit(n), F.size("words")))
+    lengths = sorted(r.length for r in known.select("length").distinct().collect())
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("words"))
     spans = F.flatten(
         F.transform(
-            F.when(F.size("words") > 0, lengths).otherwise(F.array().cast("array<int>")),
+            fitting,
             lambda length: F.transform(
                 F.sequence(F.lit(0), F.size("words") - length),
-                lambda i: F.struct(i.alias("begin"), length.alias("length"), F.concat_ws(" ", F.slice("words", i + 1, length)).alias("window")),
+                lambda i: F.struct(i.alias("begin"), length.alias("length"), F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, length))).alias("hash")),
             ),
         )
     )
-    hits = explode_once(rows, spans, "span", "at").join(known.select(F.col("window").alias("w"), F.col("length").alias("l")), (F.col("span.window") == F.col("w")) & (F.col("span.length") == F.col("l")))
-    hits = hits.groupBy("at").agg(F.collect_set(F.struct("span.begin", "span.length")).alias("spans"))
+    hashed = known.select(F.xxhash64("window").alias("hash"), "length", "window")
+    hits = explode_once(rows, spans, "span", "at").select("at", "span.*").join(hashed, ["hash", "length"])
+    hits = hits.groupBy("at").agg(F.collect_set(F.struct("begin", "length", "window")).alias("spans"))
+    found = F.filter("spans", lambda s: F.concat_ws(" ", F.slice("words", s.begin + 1, s.length)) == s.window)
+    found = F.array_distinct(F.transform(found, lambda s: F.struct(s.begin.alias("begin"), s.length.alias("length"))))
     empty = F.array().cast("array<struct<begin: int, length: int>>")
-    return rows.join(hits, "at", "left").select("row", "words", F.coalesce("spans", empty).alias("spans"))
+    return rows.join(hits, "at", "left").select("row", "words", F.coalesce(found, empty).alias("spans"))
 
 
 def marked(docs: DataFrame, known: DataFrame, text_col: str = "text", n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -89,7 +95,7 @@ def marked(docs: DataFrame, known: DataFrame, text_col: str = "text", n: int = W
     size = known.agg(F.count("*"), F.coalesce(F.sum(F.length("window")), F.lit(0))).first()
     packed = _packed(docs, text_col)
     if size[0] > max_windows or size[1] > MAX_CHARS:
-        return _by_join(packed, known, n)
+        return _by_join(packed, known)
     part = F.split("window", " ")
     return _by_hash_set(packed, known.select("window", "length", F.xxhash64(F.element_at(part, 1), F.element_at(part, -1)).alias("ends")).collect())
 

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablewarden.llm.components import components
 from tablewarden.llm.durable import cut
+from tablewarden.llm.rows import column
 from tablewarden.llm.words import hashed_words, mix
 
 SKETCH = 64
@@ -87,7 +88,7 @@ def _sketches(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys, kept = [], [], []
-            for values in shingle_sets(batch.column(1), size):
+            for values in shingle_sets(batch.column("text"), size):
                 counts.append(len(values))
                 keys.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
                 # signed values in the same order
@@ -95,8 +96,8 @@ def _sketches(size: int, k: int):
             ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
             flat = pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64))
             yield pa.record_batch(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                names=["doc_id", "n_shingles", "set_key", "sketch"],
+                [batch.column("doc_id"), batch.column("tie"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                names=["doc_id", "tie", "n_shingles", "set_key", "sketch"],
             )
 
     return run
@@ -231,43 +232,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked where 100 * shared shingles >= percent * shingles of the union.
     `component_id` is the smallest id reachable over links, `kept` marks that document.
 
-    Defined results: a null or wordless text has no shingles, is linked with nothing and is kept. A
-    row without id keeps a null component and is kept. Rows that repeat an id are one document and
-    fare alike; where their texts differ, each is linked, and the smallest component id holds.
-    An empty table gives no rows. Other columns of `docs` are ignored, so their names cannot clash.
+    Defined results: a null or wordless text has no shingles and is linked with nothing. A row without id
+    keeps a null component and is kept. Rows that repeat an id are one document: what one of its texts is linked
+    with, all are, and they fare alike. An empty table gives no rows. Other columns of `docs` are ignored,
+    so their names cannot clash.
     """
     similarity = percent / 100
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = cut(texts.mapInArrow(_sketches(shingle, k), "doc_id long, n_shingles long, set_key binary, sketch array<long>"))
-    # one class per set; its sketch comes from any member
+    text = column(text_col)
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    sketched = cut(texts.mapInArrow(_sketches(shingle, k), "doc_id long, tie long, n_shingles long, set_key binary, sketch array<long>"))
+    # one class per set, with a number of its own; its sketch comes from any member, its text from the first
     classes = cut(
         sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .select("set_key", "first.doc_id", "first.tie", "n", "sketch", F.monotonically_increasing_id().alias("node"))
     )
     held = cut(_held(classes, similarity, k))
     # the texts that may be compared; all texts are shuffled this once
-    store = cut(texts.join(held.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    held = held.join(_common(store, shingle), "node").where(F.col("common") * 100 >= F.col("n") * percent)
-    # where ids repeat, different texts may share a node; then each of them stands for it
+    store = cut(texts.join(classes.join(held.select("node"), "node", "left_semi").select("doc_id", "tie", "node"), ["doc_id", "tie"]).select("node", "text"))
+    common = _common(store, shingle).join(classes.select("node", "n"), "node")
+    # rows that repeat with their id stand in the store as often, and count in proportion
+    common = common.select("node", "n", F.expr("shared * n DIV total").alias("common"))
+    held = held.join(common, "node").where(F.col("common") * 100 >= F.col("n") * percent)
     held = cut(held.join(_large_sketches(store, shingle), "node"))
 
-    roots = classes.select("node", F.col("node").alias("root")).distinct()
-    links = None
+    roots = classes.select("node", F.col("node").alias("root"))
+    links = cut(_same_ids(sketched, classes))
     for candidates in (_star_pairs, _residual_pairs):
         pairs = cut(candidates(held, roots, k, percent))
         both = pairs
         for side in "ab":
-            both = both.join(store.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+            both = both.join(store.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
         edges = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, percent), "a long, b long")
-        links = cut(edges if links is None else links.union(edges))
+        links = cut(links.union(edges))
         moved = components(links)
-        roots = cut(classes.select("node").distinct().join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        roots = cut(classes.select("node").join(moved, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
-    members = classes.join(roots, "node").select("set_key", "root")
-    per_row = sketched.select("doc_id", "n_shingles", "set_key").join(members, "set_key", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.least("root", "doc_id"))
-    return per_row.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = classes.join(roots, "node").select("set_key", "doc_id", "root")
+    members = placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("least")), "root").select("set_key", "least")
+    per_row = cut(sketched.select("doc_id", "n_shingles", "set_key").join(members, "set_key", "left").select("doc_id", "n_shingles", F.least("least", "doc_id").alias("component")))
+    # a wordless text fares like the other texts of its id
+    repeated = per_row.groupBy("doc_id").agg(F.min("component").alias("own"), F.max("component").alias("most")).where("own < most").select("doc_id", "own")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "component"))
+    per_row = per_row.join(repeated, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return per_row.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _same_ids(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that hold texts of one id, each with the least of them."""
+    keys = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key")
+    several = keys.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
+    own = keys.join(several, "doc_id").distinct().join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
+    least = own.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return own.join(least, "doc_id").where("node > b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _held(classes: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -283,14 +301,14 @@ def _held(classes: DataFrame, similarity: float, k: int) -> DataFrame:
         shared.groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"), F.sum("df").alias("mass"))
         .where(F.size("all") >= need)
-        .select("node", F.array_sort(F.transform(rarest, lambda x: F.shiftright(x.value, 32).cast("int"))).alias("held"), "mass")
+        .select("node", F.array_sort(F.transform(rarest, lambda x: x.value)).alias("held"), "mass")
     )
 
 
 def _common(store: DataFrame, size: int) -> DataFrame:
-    """(node, n, common): a document's shingles, and how many of them another one of `store` has too.
+    """(node, total, shared): the shingles of a class's rows in `store`, and how many of them another class has too.
 
-    No pair shares more than the smaller `common` of its two, which bounds its likeness from above."""
+    No pair shares more than the smaller share of its two, which bounds its likeness from above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,9 +319,10 @@ def _common(store: DataFrame, size: int) -> DataFrame:
                 values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.record_batch([part.column(0), values], names=["node", "values"])
 
-    rows = store.select("doc_id", "text").mapInArrow(run, "node long, values array<long>").select("node", F.explode("values").alias("value"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("value")))
-    return rows.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("df") > 1).alias("common"))
+    rows = store.select("node", "text").mapInArrow(run, "node long, values array<long>").select("node", F.explode("values").alias("value"))
+    same = Window.partitionBy("value")
+    rows = rows.select("node", (F.min("node").over(same) < F.max("node").over(same)).alias("other"))
+    return rows.groupBy("node").agg(F.count("*").alias("total"), F.count_if("other").alias("shared"))
 
 
 def _large_sketches(store: DataFrame, size: int) -> DataFrame:
@@ -316,7 +335,8 @@ def _large_sketches(store: DataFrame, size: int) -> DataFrame:
             flat = pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int32))
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["node", "sketch"])
 
-    return store.select("doc_id", "text").mapInArrow(run, "node long, sketch array<int>")
+    found = store.select("node", "text").mapInArrow(run, "node long, sketch array<int>")
+    return found.groupBy("node").agg(F.first("sketch").alias("sketch"))
 
 
 def _star_pairs(held: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:

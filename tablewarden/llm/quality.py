@@ -159,7 +159,8 @@ def classified(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, th
     """`row` (all columns of `docs` but the text as a struct), posterior, score, kept (score >= threshold).
 
     The threshold leans to keeping: a word or two alone say little. A null text is empty. A text without
-    words is bad: its score is 0. An empty table gives no rows.
+    words is bad: its score is 0. An empty table gives no rows. Rows that repeat count each in the votes, and once in the
+    sample. Where no text can be sampled, the score is the posterior.
     """
     spark = docs.sparkSession
     rest = F.struct(*[column(c) for c in docs.columns if c != text_col])
@@ -167,8 +168,9 @@ def classified(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, th
     patterns = {r.votes: r["count"] for r in votes(rows).groupBy("votes").count().collect()}
     posteriors, _ = expectation_maximisation(patterns)
 
-    # about as many texts as asked pass the bound on hashes, wherever they are; equal texts count once
-    bound = int((1 << 30) * min(1.0, sample / max(sum(patterns.values()), 1)))
+    # about as many distinct texts as asked pass the bound on hashes, wherever they are
+    distinct = rows.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
+    bound = int((1 << 30) * min(1.0, sample / max(distinct, 1)))
     picked = rows.select(F.xxhash64("text").alias("hash"), "text").where(F.col("hash").bitwiseAND(F.lit((1 << 30) - 1)) < bound)
     picked = picked.groupBy("hash").agg(F.first("text").alias("text")).orderBy("hash").limit(sample).select(F.lit(0).cast("long").alias("at"), "text")
 
@@ -179,7 +181,7 @@ def classified(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, th
             yield pa.record_batch([batch.column(1), pa.array(found, pa.float64())], names=["text", "label"])
 
     fitted = picked.mapInArrow(labelled, "text string, label double").coalesce(1).mapInArrow(fit, "weights array<double>").collect()
-    weights = np.array(fitted[0].weights) if fitted else np.zeros(DIMENSIONS + 1)
+    weights = np.array(fitted[0].weights) if fitted else None
     shared = spark.sparkContext.broadcast((weights, posteriors))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +190,11 @@ def classified(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, th
             offsets, data = buffers(batch.column(1))
             words = _words(batch.column(1))
             found = [posteriors[_votes(data[a:b], w)] for a, b, w in zip(offsets[:-1].tolist(), offsets[1:].tolist(), words, strict=True)]
-            parts = [features(batch.column(1).slice(i, _CHUNK)) @ weights[:-1] + weights[-1] for i in range(0, batch.num_rows, _CHUNK)]
-            scores = 1 / (1 + np.exp(-np.concatenate(parts))) if parts else np.zeros(0)
+            if weights is None:
+                scores = np.array(found, float)
+            else:
+                parts = [features(batch.column(1).slice(i, _CHUNK)) @ weights[:-1] + weights[-1] for i in range(0, batch.num_rows, _CHUNK)]
+                scores = 1 / (1 + np.exp(-np.concatenate([np.zeros(0), *parts])))
             scores = np.where([len(w) > 0 for w in words], scores, 0.0)
             yield pa.record_batch([batch.column(0), pa.array(found, pa.float64()), pa.array(scores, pa.float64())], names=["row", "posterior", "score"])
 

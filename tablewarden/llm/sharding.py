@@ -5,23 +5,22 @@ Hilbert curve through all of them, rows are ordered by that number, and the orde
 of equal counts (at most one apart). Neighbours on the curve are neighbours in every dimension, so
 each shard spans little of any of them and readers can skip shards by minima and maxima.
 
-Ranks do not need one sorted task: approximate quantiles of the sort key bound `BUCKETS` ranges,
-whose counts give each range's first rank. The key ends in a hash of the row, so equal metadata
-are spread over ranges.
+Rows of equal text take the metadata of the one with the smallest id and stand side by side, so at most
+the cuts between shards part them. Ranks do not need one sorted task: approximate quantiles of the
+sort key bound `BUCKETS` ranges, whose counts give each range's first rank. The key ends in a hash
+of the id, so very many rows of one text or of equal metadata are spread over ranges.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewarden.llm.durable import cut
 from tablewarden.llm.rows import column, packed as packed_row
 
 BITS = 6
 BUCKETS = 256
-TIE_BITS = 36
-# Up to so many values of a category, their levels are a local table whose size the optimizer knows.
-LOCAL_VALUES = 10_000
+KEY_BITS, ID_BITS = 63, 15
 
 
 def hilbert_index(values: list[Column], bits: int) -> Column:
@@ -59,22 +58,28 @@ def hilbert_index(values: list[Column], bits: int) -> Column:
     return F.get(one, F.lit(0))
 
 
-def _category(docs: DataFrame, column: str, bits: int) -> DataFrame:
-    """(value, level) of a text column: values in order, levels by the share of rows before them."""
-    counts = docs.groupBy(F.col(column).alias("value")).count()
-    few = counts.limit(LOCAL_VALUES + 1).collect()
-    if len(few) <= LOCAL_VALUES:
-        few.sort(key=lambda r: (r.value is not None, r.value or ""))
-        rows, before, all_rows = [], 0, sum(r["count"] for r in few)
-        for r in few:
-            rows.append((r.value, before * (1 << bits) // all_rows))
-            before += r["count"]
-        table = pa.table([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["value", "level"])
-        return docs.sparkSession.createDataFrame(table)
-    order = Window.orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("count").over(Window.partitionBy())
-    level = F.floor((F.sum("count").over(order) - F.col("count")) * (1 << bits) / total)
-    return counts.select("value", level.cast("int").alias("level"))
+def _category(docs: DataFrame, name: str, bits: int) -> Column:
+    """The level of a text column: values in order, levels by the share of rows before them, a null lowest.
+
+    Distinct values are laid out in ranges, so that their number does not matter; levels change at 2^bits - 1
+    values at most, which are all that an expression needs."""
+    counts = docs.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    laid = cut(counts.repartitionByRange(F.col("value").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
+    firsts, total = [], 0
+    for row in sorted(laid.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        firsts.append((row.part, total))
+        total += row.n
+    if not total:
+        return F.lit(0)
+    starts = docs.sparkSession.createDataFrame(firsts, "part int, first long")
+    before = Window.partitionBy("part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    level = F.floor((F.col("first") + F.coalesce(F.sum("n").over(before), F.lit(0))) * (1 << bits) / total)
+    levels = laid.join(starts, "part").select("value", level.cast("int").alias("level")).where("value IS NOT NULL AND level > 0")
+    bounds = sorted((r.level, r.value) for r in levels.groupBy("level").agg(F.min("value").alias("value")).collect())
+    found = None
+    for at, value in reversed(bounds):
+        found = F.when(F.col(name) >= value, at) if found is None else found.when(F.col(name) >= value, at)
+    return F.lit(0) if found is None else F.coalesce(found, F.lit(0))
 
 
 def _number(docs: DataFrame, column: str, bits: int) -> Column:
@@ -91,29 +96,35 @@ def sharded(
 ) -> DataFrame:
     """`row` (the given columns as a struct, so names cannot clash), size, text_crc32, shard, slot.
 
-    Dimensions: the category columns, the logarithm of the size, the document id. `shard` counts are
-    at most one apart, `slot` counts from 0 within a shard. A null text has no bytes (size 8,
-    checksum 0); nulls are lowest in every dimension. Equal rows are interchangeable. An empty table
+    Dimensions: the category columns, the logarithm of the size, the document id. `shard` counts are at most one apart, `slot`
+    counts from 0 within a shard. A null text has no bytes (size 8, checksum 0), and is a text like any
+    other; nulls are lowest in every dimension. Equal rows are interchangeable. An empty table
     gives no rows; with fewer rows than shards some shards are empty.
     """
     text = F.coalesce(column(text_col), F.lit(""))
+    names = [f"c{i}" for i in range(len(categories))]
     facts = docs.select(
         packed_row(columns),
         column(id_col).alias("id"),
-        *[column(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)],
+        *[column(c).cast("string").alias(name) for c, name in zip(categories, names, strict=True)],
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
     ).withColumn("log_size", F.log2("size"))
     narrow = facts.drop("row")
-    levels = []
-    for i in range(len(categories)):
-        table = _category(narrow, f"c{i}", bits).select(F.col("value").alias(f"v{i}"), F.col("level").alias(f"l{i}"))
-        facts = facts.join(table, F.col(f"c{i}").eqNullSafe(F.col(f"v{i}")))
-        levels.append(F.col(f"l{i}"))
-    levels += [_number(narrow, "log_size", bits), _number(narrow, "id", bits)]
-    tie = F.xxhash64("id", "text_crc32", "size").bitwiseAND(F.lit((1 << TIE_BITS) - 1))
-    key = hilbert_index(levels, bits) * (1 << TIE_BITS) + tie
-    keyed = facts.select("row", "id", "size", "text_crc32", key.alias("key"))
+    levels = [_category(narrow, name, bits) for name in names] + [_number(narrow, "log_size", bits), _number(narrow, "id", bits)]
+    cell_bits = bits * len(levels)
+    cell = hilbert_index(levels, bits)
+    # texts that stand in several cells take that of their first row
+    cells = narrow.select("text_hash", "size", "id", cell.alias("cell")).groupBy("text_hash", "size")
+    moved = cells.agg(F.min("cell").alias("low"), F.max("cell").alias("high"), F.min_by("cell", F.struct(F.col("id").isNull(), "id", "cell")).alias("home"))
+    moved = cut(moved.where("low < high").select("text_hash", "size", "home"))
+    own = KEY_BITS - cell_bits - ID_BITS
+    same = F.col("text_hash").bitwiseAND(F.lit((1 << own) - 1))
+    spread = F.xxhash64("id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    placed = facts.withColumn("cell", cell).join(moved, ["text_hash", "size"], "left").withColumn("cell", F.coalesce("home", "cell"))
+    key = (F.col("cell") * (1 << own) + same) * (1 << ID_BITS) + spread
+    keyed = placed.select("row", "id", "size", "text_crc32", key.alias("key"))
 
     ends = [i / buckets for i in range(1, buckets)]
     bounds = keyed.select(F.percentile_approx("key", ends, 20 * buckets).alias("b")).first().b or []
