@@ -426,16 +426,6 @@ def _phrases(least: int):
 # -- streams of counts --------------------------------------------------------------------------------
 
 
-def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases that a range's first one begins with."""
-    for batch in batches:
-        if batch.num_rows:
-            ids = batch.column("ids")[0].as_py()
-            kind = pa.list_(pa.int64())
-            yield pa.record_batch([pa.array([ids] * (len(ids) - 1), kind), pa.array([ids[:k] for k in range(1, len(ids))], kind)], names=["first", "ids"])
-            break
-
-
 def _stream(shared, side: int):
     """Of each phrase the counts of the phrases that it begins with, shortest first; and a note (side 2) on each that it
     extends and occurs as often as. In suffix order all phrases are turned round."""
@@ -470,7 +460,8 @@ def _layout(grams: DataFrame, side: int) -> DataFrame:
     own = grams if side == 0 else grams.select(F.reverse("ids").alias("ids"), "f")
     laid = cut(own.repartitionByRange("ids").sortWithinPartitions("ids"))
     # at most ORDER - 1 phrases for each range of the stream
-    firsts = laid.mapInArrow(_first_row, "first array<long>, ids array<long>")
+    firsts = laid.groupBy(F.spark_partition_id()).agg(F.min("ids").alias("first")).where(F.size("first") > 1)
+    firsts = firsts.select("first", F.explode(F.transform(F.sequence(F.lit(1), F.size("first") - 1), lambda k: F.slice("first", F.lit(1), k))).alias("ids"))
     before: dict[tuple, list] = {}
     for row in sorted(laid.join(firsts, "ids").select("first", "ids", "f").collect(), key=lambda r: len(r.ids)):
         before.setdefault(tuple(row.first), []).append((row.ids, row.f))
@@ -575,7 +566,7 @@ class Counts:
                     columns = [pa.array(own), pa.array(np.frombuffer(langs, np.int64)), pa.array(np.frombuffer(counts, np.int64))]
                     yield pa.record_batch(columns, names=["id", "lang_key", "f"])
 
-        singles = words.select("langs", "keys", "counts").mapInArrow(single, "id long, lang_key long, f long")
+        singles = cut(words.select("langs", "keys", "counts").mapInArrow(single, "id long, lang_key long, f long"))
         self.words = singles.join(of_key, "lang_key").select("id", "lang")
         dealt = texts.mapInArrow(_count_runs(shared, coarse), _PACKED)
         longer = _gathered(dealt, bits, coarse).mapInArrow(_phrases(least), "ids array<long>, f long")
@@ -584,14 +575,9 @@ class Counts:
     def named(self, phrases: DataFrame) -> DataFrame:
         """(id, word) of the words of phrases (ids), from one more pass over the texts."""
 
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = np.unique(batch.column("ids").flatten().to_numpy())
-                yield pa.record_batch([pa.array([ids[ids > 0].tobytes()])], names=["ids"])
-
         wanted = np.zeros(self.table_size + 1, bool)
-        for row in phrases.select("ids").mapInArrow(packed, "ids binary").toLocalIterator():
-            wanted[np.frombuffer(bytes(row["ids"]), np.int64)] = True
+        ids = phrases.select(F.explode("ids").alias("id")).where("id > 0").distinct().toArrow().column("id")
+        wanted[ids.to_numpy()] = True
         seen = self.texts.mapInArrow(_named(self.shared, self.texts.sparkSession.sparkContext.broadcast(wanted)), "id long, word string")
         return seen.groupBy("id").agg(F.min("word").alias("word"))
 
