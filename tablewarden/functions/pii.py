@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-# Labels and patterns the classification has to reproduce. Order is
-# meaning, the first matching name pattern wins.
+# Labels, patterns and limits that results depend on. A name takes the label of the first pattern
+# in this list that it matches.
 NAME_PATTERNS = [
     ("network_id", r"(ip_address|ip_addr|user_agent|device_id|mac_address)"),
     ("national_id", r"\b(cpf|cnpj|ssn|nif|national_id)\b"),
@@ -29,7 +29,7 @@ def classify_by_name(name: Column) -> Column:
 
 
 def is_textual(data_type: T.DataType) -> bool:
-    """Value rules only ever look at text: a date is not a phone number."""
+    """Whether the value rules apply to a column of this type."""
     return isinstance(data_type, (T.StringType, T.VarcharType, T.CharType))
 
 

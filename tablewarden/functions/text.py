@@ -17,15 +17,16 @@ SEARCH_STOP_WORDS = [
 ]
 SEARCH_MIN_TERM = 3
 DESCRIPTION_CHARS = 1000
+_SEARCH_GAP = r"[^a-z0-9_À-ſ]+"
+_CAMEL_CASE = "(?<=[a-z0-9])(?=[A-Z])"
 
 # Every line boundary str.splitlines knows, so documents from any platform chunk alike.
 _LINE_END = r"\r\n|[\r\x0B\f\x1C-\x1E\x85  ]"
-_SEARCH_GAP = r"[^a-z0-9_À-ſ]+"
 
 
 def tokenize(text: Column) -> Column:
     """Lower-case words of a text, camelCase split, stop words and single characters dropped."""
-    spaced = F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " ")
+    spaced = F.regexp_replace(text, _CAMEL_CASE, " ")
     words = F.regexp_extract_all(F.lower(spaced), F.lit("[a-z0-9]+"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 1))
 

@@ -22,6 +22,19 @@ WEIGHTS = {
 }
 STORAGE_PRICE_PER_GB_MONTH = 0.023
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2}
+# The texts of findings.
+SUMMARY_TEXTS = {
+    "pii": ("High", "Personal data columns with no documentation or tag"),
+    "orphans": ("Medium", f"Tables never read in {ORPHAN_DAYS} days"),
+    "tables": ("Medium", "Undocumented tables"),
+    "columns": ("Low", "Undocumented columns"),
+    "dead": ("Low", "Dead columns (all null or single-valued)"),
+    "fragmented": ("Low", "Fragmented tables (never optimised)"),
+}
+PII_COLUMN, PII_WHY = "personal-data column", "needs a masking policy and a retention decision"
+NEVER_READ, NEVER_READ_WHY = "never read", " nobody has queried"
+DEAD_COLUMN, DEAD_WHY = "dead column", "always null or a single repeated value"
+FRAGMENTED, FRAGMENTED_WHY = "fragmented", " files for "
 SERVICE_PRINCIPAL = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -90,12 +103,12 @@ def findings_summary(inventory: DataFrame, profile: DataFrame, keys: list[str])
     """Number of findings of each kind: (keys, position, severity, finding, findings)."""
     c = F.col
     kinds = [
-        ("High", "Personal data columns with no documentation or tag", c("pii_columns") - c("pii_documented")),
-        ("Medium", f"Tables never read in {ORPHAN_DAYS} days", c("orphans")),
-        ("Medium", "Undocumented tables", c("n_tables") - c("documented_tables")),
-        ("Low", "Undocumented columns", c("n_columns") - c("documented_columns")),
-        ("Low", "Dead columns (all null or single-valued)", c("dead")),
-        ("Low", "Fragmented tables (never optimised)", c("fragmented_tables")),
+        (*SUMMARY_TEXTS["pii"], c("pii_columns") - c("pii_documented")),
+        (*SUMMARY_TEXTS["orphans"], c("orphans")),
+        (*SUMMARY_TEXTS["tables"], c("n_tables") - c("documented_tables")),
+        (*SUMMARY_TEXTS["columns"], c("n_columns") - c("documented_columns")),
+        (*SUMMARY_TEXTS["dead"], c("dead")),
+        (*SUMMARY_TEXTS["fragmented"], c("fragmented_tables")),
     ]
     rows = F.array(
         *[
@@ -139,13 +152,10 @@ def findings_ranked(overview: DataFrame) -> DataFrame:
 
     size = human_bytes(c("size_bytes"), whole_bytes=True)
     found = F.array(
-        finding(c("pii_count") > 0, "high", plural(c("pii_count"), "personal-data column"),
-                F.lit("needs a masking policy and a retention decision")),
-        finding(is_orphan(), "medium", F.lit("never read"), F.concat(size, F.lit(" nobody has queried"))),
-        finding(c("dead_count") > 0, "low", plural(c("dead_count"), "dead column"),
-                F.lit("always null or a single repeated value")),
-        finding(c("fragmented"), "low", F.lit("fragmented"),
-                F.concat(c("num_files").cast("string"), F.lit(" files for "), size)),
+        finding(c("pii_count") > 0, "high", plural(c("pii_count"), PII_COLUMN), F.lit(PII_WHY)),
+        finding(is_orphan(), "medium", F.lit(NEVER_READ), F.concat(size, F.lit(NEVER_READ_WHY))),
+        finding(c("dead_count") > 0, "low", plural(c("dead_count"), DEAD_COLUMN), F.lit(DEAD_WHY)),
+        finding(c("fragmented"), "low", F.lit(FRAGMENTED), F.concat(c("num_files").cast("string"), F.lit(FRAGMENTED_WHY), size)),
     )
     return (
         overview.select(

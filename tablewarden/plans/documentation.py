@@ -7,12 +7,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.moments import moment
-from ..operators import retrieval, runs, suggest
+from ..operators import retrieval, rollups, runs, suggest
 from ..operators.profile import TABLE_KEY
 from ..sources import store
+from ..sources.documents import read_documents, read_mapping
 from .audit import Scan
 
 
@@ -24,6 +25,13 @@ def grounding(scan: Scan, documents: DataFrame, rules: list[tuple[str, str]]) ->
     return retrieval.retrieve(queries, retrieval.corpus_chunks(documents)).join(names, "query_id").drop("query_id")
 
 
+def grounding_from_files(scan: Scan, root: str, mapping: str) -> DataFrame:
+    """`grounding` by the documents below a folder and a mapping file."""
+    spark = scan.inventory.sparkSession
+    rules = read_mapping(spark, mapping)
+    return grounding(scan, read_documents(spark, root, rules), rules)
+
+
 def prompts(scan: Scan, grounded: DataFrame | None = None) -> DataFrame:
     """(table key, prompt) for a model of the caller's choice."""
     return suggest.prompts(_columns(scan), grounded)
@@ -75,6 +83,12 @@ def save(
     store.append(counted, root, "model_runs")
 
 
+def curate(rows: DataFrame, condition: Column, columns: list[str], table: str) -> DataFrame:
+    """Writes the curated rows as a table of the session's catalog, and returns it."""
+    rollups.create_table_as(rollups.curated(rows, condition, columns), table)
+    return rows.sparkSession.table(table)
+
+
 def portal(spark: SparkSession, root: str, scan: Scan, written: str, newest: str) -> tuple[DataFrame, DataFrame]:
     """(columns, tables) of the portal: labels of the run that wrote comments, texts of the newest one."""
     said, latest = store.read(spark, root, "suggestions", written), store.read(spark, root, "suggestions", newest)
