@@ -17,10 +17,12 @@ from ..functions.text import is_filled, split_packed
 from ..operators.profile import TABLE_KEY
 from ..operators.usage import MARKER
 from ..sources.documents import system_for
-from ..sources.registry import is_fragmented, tables_in_scope
+from ..sources.registry import is_fragmented, stored_bytes, tables_in_scope
 from .lake import read
 
 ASOF = datetime(2001, 11, 10)
+# Stored bytes of lineitem whose columns one task holds, so that its memory does not grow with the estate.
+TASK_BYTES = 4 << 20
 # Column name stem, type, label the model gives.
 COLUMN_KINDS = [
     ("name_", "string", "person_name"),
@@ -104,11 +106,26 @@ def _kind(part: int) -> Column:
     )
 
 
-def columns(spark: SparkSession, directory: str) -> DataFrame:
-    """Profile rows, with the line bounds that texts and labels are derived from."""
+def _dealt(rows: DataFrame, directory: str, *key: str) -> DataFrame:
+    """Rows of equal keys side by side, in more tasks than usual where lineitem is large.
+
+    The number is always given, so that frames dealt alike stay so."""
+    spark = rows.sparkSession
+    tasks = stored_bytes(spark, f"{directory}/lineitem.parquet") // TASK_BYTES
+    return rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
+
+
+def columns(spark: SparkSession, directory: str, by_table: bool = False) -> DataFrame:
+    """Profile rows, with the line bounds that texts and labels are derived from.
+
+    Lines are dealt by part, so that they are shuffled once for the pairs and for the join. The registry is as
+    long as the estate and is not broadcast. `by_table` deals what texts are derived from, which is narrower than
+    the texts, by table: what groups or joins columns by table, or by table and name, finds them in place.
+    """
     quantity = F.col("l_quantity").cast("long")
+    lines = read(spark, directory, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     pairs = (
-        read(spark, directory, "lineitem")
+        _dealt(lines, directory, "l_partkey")
         .groupBy(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
         .agg(
             F.sum(quantity).alias("row_count"),
@@ -119,10 +136,14 @@ def columns(spark: SparkSession, directory: str) -> DataFrame:
         )
     )
     all_null = F.col("null_count") == F.col("row_count")
-    return (
+    found = (
         _scoped(spark, directory)
         .select("p_partkey", "p_name", "p_brand", "p_size", "table_type", "is_writable", *TABLE_KEY)
+        .hint("merge")
         .join(pairs, "p_partkey")
+    )
+    return (
+        (_dealt(found, directory, *TABLE_KEY) if by_table else found)
         .withColumn("column_name", F.concat(_kind(0), F.col("l_suppkey").cast("string")))
         .withColumn("ordinal_position", (F.col("l_suppkey") + 1).cast("int"))
         .withColumn("data_type", _kind(1))
@@ -184,7 +205,7 @@ def responses(spark: SparkSession, directory: str) -> DataFrame:
     ghost = answer(F.lit("ghost"), F.lit("Not in this table"), nothing, F.lit("email"), no, no)
     text = F.when(F.col("p_size") <= 30, F.concat(F.lit(" All "), F.col("p_name"), F.lit("s \\ 'x' "))).otherwise("")
     return (
-        columns(spark, directory)
+        columns(spark, directory, by_table=True)
         .groupBy(*TABLE_KEY, text.alias("table_description"))
         .agg(F.flatten(F.collect_list(F.array(stale, right))).alias("answers"))
         .select(
@@ -214,14 +235,14 @@ def grounding(tables: DataFrame) -> DataFrame:
     )
 
 
-def suggestions(spark: SparkSession, directory: str) -> DataFrame:
+def suggestions(spark: SparkSession, directory: str, by_table: bool = False) -> DataFrame:
     """Suggestions as they are stored; the packed citations of display rows are split here."""
     system = system_for(F.concat_ws(".", "table_schema", "table_name"), MAPPING)
     cited = F.concat(
         F.col("doc_system"), F.lit(": "), F.col("p_brand"), F.lit(";  ; "), F.col("doc_system"), F.lit(": "), F.col("p_name")
     )
     return (
-        columns(spark, directory)
+        columns(spark, directory, by_table)
         .withColumn("doc_system", system)
         .withColumn("doc_citations", F.when(F.col("line_lo") <= 2, split_packed(cited)))
         .withColumn("suggested_comment", described())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lookup import looked_up
 from ..functions.moments import seconds_between
 from ..functions.text import is_filled, markdown_cell, strip
 from .profile import TABLE_KEY
@@ -44,19 +45,17 @@ def diff(grounded: DataFrame, plain: DataFrame, schema: str | None = None) -> Da
         .agg(F.min_by("doc_citations", "column_name").alias("grounded_in"))
     )
     text = lambda c: strip(F.coalesce(c, F.lit("")))
+    said = plain.select(*key, F.struct(F.col("suggested_comment").alias("text")).alias("plain"))
+    found = looked_up(grounded.select(*key, F.col("suggested_comment").alias("with_docs")), said, key, plain=F.collect_list("plain"))
     return (
-        grounded.select(*key, F.col("suggested_comment").alias("with_docs"))
-        .join(
-            plain.select(*key, F.col("suggested_comment").alias("without_docs"), F.lit(True).alias("in_plain")),
-            key,
-            "left",
-        )
+        found.withColumn("plain", F.explode_outer("plain"))
+        .withColumns({"without_docs": F.col("plain.text"), "in_plain": F.col("plain").isNotNull()})
         .join(cited, TABLE_KEY, "left")
         .select(
             *key,
             markdown_cell(F.col("without_docs")).alias("without_docs"),
             markdown_cell(F.col("with_docs")).alias("with_docs"),
-            (F.coalesce("in_plain", F.lit(False)) & (text("with_docs") != text("without_docs"))).alias("changed"),
+            (F.col("in_plain") & (text("with_docs") != text("without_docs"))).alias("changed"),
             F.array_join("grounded_in", "; ").alias("grounded_in"),
         )
     )
@@ -67,20 +66,21 @@ def counters(suggestions: DataFrame, statements: DataFrame, keys: list[str]) ->
 
     `statements` are those of `suggest.comment_statements`; staged are the ones of writable tables.
     """
-    table = F.struct(*TABLE_KEY)
-    done = suggestions.select(
-        *keys, table.alias("table"), F.when(F.col("doc_system").isNotNull(), table).alias("grounded"),
-        is_filled(F.col("suggested_comment")).alias("documented"), F.lit(False).alias("staged"),
+    # per table first: a table's rows meet once, where a count of distinct tables copies every row for each count
+    tables = suggestions.groupBy(*dict.fromkeys([*keys, *TABLE_KEY])).agg(
+        F.bool_or(F.col("doc_system").isNotNull()).alias("grounded"), F.count_if(is_filled(F.col("suggested_comment"))).alias("documented")
     )
-    staged = statements.where("is_writable").select(
-        *keys, F.lit(None).cast(done.schema["table"].dataType).alias("table"), F.lit(None).cast(done.schema["table"].dataType).alias("grounded"),
-        F.lit(False).alias("documented"), F.lit(True).alias("staged"),
+    done = tables.select(
+        *keys, F.lit(1).cast("long").alias("tables"), F.col("grounded").cast("long").alias("grounded"), "documented", F.lit(0).cast("long").alias("staged")
     )
+    nothing = [F.lit(0).cast("long").alias(n) for n in ("tables", "grounded", "documented")]
+    staged = statements.where("is_writable").select(*keys, *nothing, F.lit(1).cast("long").alias("staged"))
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
     return done.unionByName(staged).groupBy(*keys).agg(
-        F.count_distinct("table").alias("tables_processed"),
-        F.count_distinct("grounded").alias("tables_grounded"),
-        F.count_if("documented").alias("columns_documented"),
-        F.count_if("staged").alias("comments_staged"),
+        total("tables").alias("tables_processed"),
+        total("grounded").alias("tables_grounded"),
+        total("documented").alias("columns_documented"),
+        total("staged").alias("comments_staged"),
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.lookup import looked_up
 from ..functions.text import DESCRIPTION_CHARS, is_filled, quoted_name, sql_text, strip
 from .profile import TABLE_KEY
 
@@ -24,7 +25,7 @@ def load_scan(profile: DataFrame, inventory: DataFrame) -> DataFrame:
     """Columns of a scan with what is known of their table. The catalog is part of the key."""
     tables = inventory.select(
         "scan_id", *TABLE_KEY, "table_type", "is_writable", F.col("has_comment").alias("table_has_comment")
-    )
+    ).hint("merge")  # as many as a catalog has, also where few of their columns are read
     return profile.join(tables, ["scan_id", *TABLE_KEY])
 
 
@@ -66,7 +67,7 @@ def prompts(scan: DataFrame, grounding: DataFrame | None = None) -> DataFrame:
         F.lit("SOURCE DOCUMENTATION ("), F.col("system"), F.lit("):\n"), F.col("context"),
         F.lit("\n\nEND OF DOCUMENTATION.\n\n"),
     )
-    return lines.join(grounding.select(*TABLE_KEY, "system", "context"), TABLE_KEY, "left").select(
+    return lines.join(grounding.select(*TABLE_KEY, "system", "context").hint("merge"), TABLE_KEY, "left").select(
         *TABLE_KEY, F.concat(F.coalesce(documentation, F.lit("")), body).alias("prompt")
     )
 
@@ -76,15 +77,20 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     return responses.select(*TABLE_KEY, F.from_json("response", RESPONSE_DDL, {"mode": "PERMISSIVE"}).alias("r"))
 
 
-def described_columns(responses: DataFrame) -> DataFrame:
-    """One row per named column of each response; of repeated names the last one counts."""
-    return (
+# What a response says about a column.
+SAID = ["description", "description_pt", "pii", "type_looks_wrong", "grounded_in_docs"]
+
+
+def with_responses(scan: DataFrame, responses: DataFrame) -> DataFrame:
+    """`scan` with `SAID` of the response's entry of that column's name, nulls if there is none; of repeated names the
+    last one counts."""
+    entries = (
         parse_responses(responses)
         .select(*TABLE_KEY, F.posexplode("r.columns").alias("position", "suggestion"))
-        .where(F.col("suggestion.name").isNotNull())
-        .groupBy(*TABLE_KEY, F.col("suggestion.name").alias("column_name"))
-        .agg(F.max_by("suggestion", "position").alias("suggestion"))
+        .select(*TABLE_KEY, F.col("suggestion.name").alias("column_name"), "position", *[F.col(f"suggestion.{n}").alias(f"said_{n}") for n in SAID])
     )
+    last = {n: F.max_by(f"said_{n}", "position") for n in SAID}
+    return looked_up(scan, entries, [*TABLE_KEY, "column_name"], **last)
 
 
 def agreement(by_pattern: Column, by_model: Column) -> Column:
@@ -131,21 +137,21 @@ def ingest(
 
     `grounding` is (table key, system, citations, matched_terms).
     """
-    joined = scan.join(described_columns(responses), [*TABLE_KEY, "column_name"], "left")
+    # grounding first: what only reads the documentation needs no response, and the optimizer drops that join
     if grounding is not None:
-        joined = joined.join(
-            grounding.select(*TABLE_KEY, "system", "citations", "matched_terms"), TABLE_KEY, "left"
+        joined = scan.join(
+            grounding.select(*TABLE_KEY, "system", "citations", "matched_terms").hint("merge"), TABLE_KEY, "left"
         )
     else:
-        joined = joined.withColumns(
+        joined = scan.withColumns(
             {
                 "system": F.lit(None).cast("string"),
                 "citations": F.lit(None).cast("array<string>"),
                 "matched_terms": F.lit(None).cast("array<string>"),
             }
         )
-    said = F.col("suggestion")
-    return joined.select(
+    said = {n: F.col(n) for n in SAID}
+    return with_responses(joined, responses).select(
         *TABLE_KEY,
         "column_name",
         _cut(said["description"]).alias("suggested_comment"),
@@ -165,7 +171,7 @@ def ingest(
 
 
 def table_descriptions(tables: DataFrame, responses: DataFrame, apply: bool = False) -> DataFrame:
-    return tables.join(parse_responses(responses), TABLE_KEY, "left").select(
+    return tables.hint("merge").join(parse_responses(responses), TABLE_KEY, "left").select(
         *TABLE_KEY,
         _filled_or_null(F.col("r.table_description")).alias("description"),
         _filled_or_null(F.col("r.table_description_pt")).alias("description_pt"),
@@ -179,6 +185,7 @@ def comment_statements(scan: DataFrame, tables: DataFrame, responses: DataFrame)
     table_text = strip(F.col("r.table_description"))
     for_tables = (
         tables.where(~F.col("has_comment"))
+        .hint("merge")
         .join(parse_responses(responses), TABLE_KEY)
         .where(is_filled(table_text))
         .select(
@@ -186,11 +193,10 @@ def comment_statements(scan: DataFrame, tables: DataFrame, responses: DataFrame)
             F.concat(F.lit("COMMENT ON TABLE "), name, F.lit(" IS "), sql_text(table_text)).alias("statement"),
         )
     )
-    column_text = strip(F.col("suggestion.description"))
+    column_text = strip(F.col("description"))
+    open_columns = scan.where(~F.col("has_comment")).select(*TABLE_KEY, "is_writable", "column_name")
     for_columns = (
-        scan.where(~F.col("has_comment"))
-        .select(*TABLE_KEY, "is_writable", "column_name")
-        .join(described_columns(responses), [*TABLE_KEY, "column_name"])
+        with_responses(open_columns, responses)
         .where(is_filled(column_text))
         .select(
             *TABLE_KEY, "is_writable", "column_name",
@@ -236,12 +242,13 @@ def provenance(suggestions: DataFrame) -> DataFrame:
 
     The passages are those of the table's first column that cites any; none if no column does.
     """
-    citing = F.when(F.size("doc_citations") > 0, F.col("column_name"))
+    # a least struct and not min_by, since repeated rows do not change it: what only repeats rows need not be joined
+    citing = F.when((F.size("doc_citations") > 0) & F.col("column_name").isNotNull(), F.struct("column_name", "doc_citations"))
     return (
         suggestions.where(F.col("doc_system").isNotNull())
         .groupBy(*TABLE_KEY)
-        .agg(F.min("doc_system").alias("doc_system"), F.min_by("doc_citations", citing).alias("passages"))
-        .withColumn("passages", F.coalesce("passages", F.array().cast("array<string>")))
+        .agg(F.min("doc_system").alias("doc_system"), F.min(citing).alias("passages"))
+        .withColumn("passages", F.coalesce("passages.doc_citations", F.array().cast("array<string>")))
     )
 
 
@@ -252,22 +259,25 @@ def portal_columns(profile: DataFrame, written: DataFrame, texts: DataFrame, gro
     those of the newest run (Portuguese), `grounded` is the provenance per table.
     """
     key = [*TABLE_KEY, "column_name"]
-    labels = written.where(is_filled(F.col("pii_by_llm")) & (F.col("pii_by_llm") != "none")).select(
-        *key, F.col("pii_by_llm").alias("model_label")
-    )
-    portuguese = texts.where(F.col("suggested_comment_pt").isNotNull()).select(
-        *key, F.col("suggested_comment_pt").alias("comment_pt")
-    )
+    model_label = F.when(is_filled(F.col("pii_by_llm")) & (F.col("pii_by_llm") != "none"), F.col("pii_by_llm"))
+    if written is texts:
+        said = written.select(*key, model_label.alias("label"), F.col("suggested_comment_pt").alias("portuguese"))
+    else:
+        said = written.select(*key, model_label.alias("label")).unionByName(
+            texts.select(*key, F.col("suggested_comment_pt").alias("portuguese")), allowMissingColumns=True
+        )
     known = F.filter(F.array("pii_by_name", "pii_by_value"), lambda label: label.isNotNull())
     model = F.col("model_label")
     all_labels = F.when(
         model.isNotNull() & ~F.array_contains(known, model),
         F.array_append(known, F.concat(model, F.lit(" (model)"))),
     ).otherwise(known)
+    # one row for each pair of a label and a text, as two joins would give
+    found = looked_up(profile, said, key, model_label=F.collect_list("label"), comment_pt=F.collect_list("portuguese"))
+    for name in ("model_label", "comment_pt"):
+        found = found.withColumn(name, F.explode_outer(name))
     return (
-        profile.join(labels, key, "left")
-        .join(portuguese, key, "left")
-        .join(grounded.select(*TABLE_KEY, "doc_system"), TABLE_KEY, "left")
+        found.join(grounded.select(*TABLE_KEY, "doc_system").hint("merge"), TABLE_KEY, "left")
         .withColumn("pii_labels", all_labels)
         .withColumn("is_pii", F.col("is_pii_candidate") | model.isNotNull())
         .drop("model_label")
@@ -283,8 +293,8 @@ def portal_tables(inventory: DataFrame, columns: DataFrame, descriptions: DataFr
         F.count_if(F.col("is_all_null") | F.col("is_constant")).alias("dead_count"),
     )
     return (
-        inventory.join(descriptions.select(*TABLE_KEY, F.col("description_pt").alias("comment_pt")), TABLE_KEY, "left")
-        .join(grounded.select(*TABLE_KEY, "doc_system", "passages"), TABLE_KEY, "left")
+        inventory.join(descriptions.select(*TABLE_KEY, F.col("description_pt").alias("comment_pt")).hint("merge"), TABLE_KEY, "left")
+        .join(grounded.select(*TABLE_KEY, "doc_system", "passages").hint("merge"), TABLE_KEY, "left")
         .join(counts, TABLE_KEY, "left")
         .fillna(0, ["pii_count", "dead_count"])
     )

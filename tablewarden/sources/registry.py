@@ -162,6 +162,12 @@ def qualified(spark: SparkSession, location: str) -> str:
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
 
 
+def stored_bytes(spark: SparkSession, location: str) -> int:
+    """Bytes of all files at or below a location."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path).getLength()
+
+
 def file_stats(spark: SparkSession, tables: list[TableSource]) -> DataFrame:
     """Bytes, data files and their latest change per table that has a location; no file content is read.
 
