@@ -15,8 +15,9 @@
 Lists are not expanded into all pairs. Each class is first compared with the likeliest of its lists'
 centres; classes joined that way need no further comparison. In lists that still span several
 components, members outside the largest one are compared with all, in blocks of about `BLOCK`
-members, each pair in one list only, and likely pairs alone are emitted. Components are formed by
-joins.
+members, and likely pairs alone are emitted. Lists that agree in their largest component and in their
+first member are one there, since the lists of a group of copies hold much the same members: each
+member's sketch is shuffled once for all of them. Components are formed by joins.
 """
 
 from __future__ import annotations
@@ -140,8 +141,8 @@ def _estimated(k: int, similarity: float):
 
 
 def _list_pairs(k: int, percent: int):
-    """Likely pairs of a list's queries with the members of one of its blocks, which comes sorted with
-    its queries. A pair is left to the first list, by value, that holds both."""
+    """Likely pairs, of common values, of some lists' queries with the members of one of their blocks, which comes
+    sorted with its queries."""
     similarity = percent / 100
     need = _fewest(similarity, k)
 
@@ -164,20 +165,20 @@ def _list_pairs(k: int, percent: int):
         most = np.minimum(common, others_common)
         return 100 * most >= percent * (n + others - most)
 
-    def pairs(value: int, queries: list[tuple], members: list[tuple]) -> Iterator[tuple[int, int]]:
+    def pairs(queries: list[tuple], members: list[tuple]) -> Iterator[tuple[int, int]]:
         nodes, roots = np.array([m[0] for m in members]), np.array([m[1] for m in members])
         minor = np.array([m[2] for m in members])
         retained = shared([m[3][:k] for m in members])
-        earlier = shared([m[4][m[4] < value] for m in members])
+        meeting = shared([m[4] for m in members])
         sizes, commons = np.array([m[5] for m in members]), np.array([m[6] for m in members])
-        for node, root, _, sketch, held, n, common in queries:
+        for node, root, _, sketch, values, n, common in queries:
             apart = (roots != root) & ~(minor & (nodes <= node)) & may(n, common, sizes, commons)
             if not apart.any():
                 continue
             apart &= retained(sketch[:k]) >= (need if len(sketch) >= k else 1)
             if not apart.any():
                 continue
-            apart &= earlier(held[held < value]) == 0
+            apart &= meeting(values) > 0
             for j in np.flatnonzero(apart).tolist():
                 if _likely(*_estimates(sketch, members[j][3], LARGE), LARGE, similarity):
                     yield max(node, int(nodes[j])), min(node, int(nodes[j]))
@@ -186,22 +187,22 @@ def _list_pairs(k: int, percent: int):
         key, queries, members = None, [], []
 
         def flush() -> pa.RecordBatch:
-            found = sorted(set(pairs(key[0], queries, members))) if queries and members else []
+            found = sorted(set(pairs(queries, members))) if queries and members else []
             return pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            plain = [batch.column(c).to_pylist() for c in ("value", "block", "is_query", "node", "root", "minor")]
+            plain = [batch.column(c).to_pylist() for c in ("major", "least", "block", "is_query", "node", "root", "minor")]
             arrays = []
-            for name in ("sketch", "held"):
+            for name in ("sketch", "values"):
                 lists = batch.column(name)
                 flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
                 arrays.append([flat[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)])
             sizes = [batch.column(c).to_pylist() for c in ("n", "common")]
-            for value, block, is_query, *row in zip(*plain, *arrays, *sizes, strict=True):
-                if (value, block) != key:
+            for major, least, block, is_query, *row in zip(*plain, *arrays, *sizes, strict=True):
+                if (major, least, block) != key:
                     if key:
                         yield flush()
-                    key, queries, members = (value, block), [], []
+                    key, queries, members = (major, least, block), [], []
                 (queries if is_query else members).append(tuple(row))
         if key:
             yield flush()
@@ -357,17 +358,22 @@ def _residual_pairs(held: DataFrame, roots: DataFrame, k: int, percent: int) ->
     lists = held.select("node", F.explode("held").alias("value")).distinct()
     placed = lists.join(roots, "node").select("value", "node", "root")
     mixed = (
-        placed.groupBy("value", "root").agg(F.count("*").alias("n"))
-        .groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max_by("root", F.struct("n", "root")).alias("major"))
+        placed.groupBy("value", "root").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+        .groupBy("value").agg(F.count("*").alias("kinds"), F.max_by("root", F.struct("n", "root")).alias("major"), F.min("least").alias("least"))
         .where("kinds > 1")
-        .select("value", "major", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("value", "major", "least")
     )
+    # lists of one largest component and first member are one; no more than the sketch of that member has values
+    family = ["major", "least"]
+    rows = cut(placed.join(mixed, "value").groupBy(*family, "node", "root").agg(F.collect_list("value").alias("values")))
+    sizes = rows.groupBy(*family).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    rows = placed.join(mixed, "value").select("value", "node", "root", "blocks", (F.col("root") != F.col("major")).alias("minor"), block.alias("block"))
-    own = rows.select("value", "block", F.lit(False).alias("is_query"), "node", "root", "minor")
+    rows = rows.join(sizes, family).select(*family, "node", "root", "values", "blocks", (F.col("root") != F.col("major")).alias("minor"), block.alias("block"))
+    own = rows.select(*family, "block", F.lit(False).alias("is_query"), "node", "root", "minor", "values")
     queries = rows.where("minor").select(
-        "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "node", "root", "minor"
+        *family, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "node", "root", "minor", "values"
     )
-    rows = own.union(queries).join(held.select("node", "sketch", "held", "n", "common"), "node")
-    rows = rows.select("value", "block", "is_query", "node", "root", "minor", "sketch", "held", "n", "common").repartition("value", "block").sortWithinPartitions("value", "block")
+    rows = own.union(queries).join(held.select("node", "sketch", "n", "common"), "node")
+    rows = rows.select(*family, "block", "is_query", "node", "root", "minor", "sketch", "values", "n", "common")
+    rows = rows.repartition(*family, "block").sortWithinPartitions(*family, "block")
     return rows.mapInArrow(_list_pairs(k, percent), "a long, b long").distinct()
