@@ -115,12 +115,13 @@ def _dealt(rows: DataFrame, directory: str, *key: str) -> DataFrame:
     return rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
 
 
-def columns(spark: SparkSession, directory: str, by_table: bool = False) -> DataFrame:
+def columns(spark: SparkSession, directory: str, by_table: bool = False, described: DataFrame | None = None) -> DataFrame:
     """Profile rows, with the line bounds that texts and labels are derived from.
 
     Lines are dealt by part, so that they are shuffled once for the pairs and for the join. The registry is as
     long as the estate and is not broadcast. `by_table` deals what texts are derived from, which is narrower than
     the texts, by table: what groups or joins columns by table, or by table and name, finds them in place.
+    `described` tables add what they say to the columns of each of them, by a join of tables.
     """
     quantity = F.col("l_quantity").cast("long")
     lines = read(spark, directory, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
@@ -136,12 +137,10 @@ def columns(spark: SparkSession, directory: str, by_table: bool = False) -> Data
         )
     )
     all_null = F.col("null_count") == F.col("row_count")
-    found = (
-        _scoped(spark, directory)
-        .select("p_partkey", "p_name", "p_brand", "p_size", "table_type", "is_writable", *TABLE_KEY)
-        .hint("merge")
-        .join(pairs, "p_partkey")
-    )
+    tables = _scoped(spark, directory).select("p_partkey", "p_name", "p_brand", "p_size", "table_type", "is_writable", *TABLE_KEY)
+    if described is not None:
+        tables = tables.join(described, TABLE_KEY)
+    found = tables.hint("merge").join(pairs, "p_partkey")
     return (
         (_dealt(found, directory, *TABLE_KEY) if by_table else found)
         .withColumn("column_name", F.concat(_kind(0), F.col("l_suppkey").cast("string")))
@@ -282,8 +281,7 @@ def search_fields(spark: SparkSession, directory: str) -> DataFrame:
     labels = F.filter(F.array("pii_by_name", "pii_by_value"), lambda label: label.isNotNull())
     described_tables = _scoped(spark, directory).select(*TABLE_KEY, "table_comment")
     return (
-        columns(spark, directory)
-        .join(described_tables, TABLE_KEY)
+        columns(spark, directory, described=described_tables)
         .select(
             "table_key",
             F.col("ordinal_position").alias("ordinal"),

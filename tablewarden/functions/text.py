@@ -17,8 +17,8 @@ SEARCH_STOP_WORDS = [
 ]
 SEARCH_MIN_TERM = 3
 DESCRIPTION_CHARS = 1000
-_SEARCH_GAP = r"[^a-z0-9_À-ſ]+"
-_CAMEL_CASE = "(?<=[a-z0-9])(?=[A-Z])"
+_SEARCH_RUN = r"[a-z0-9_À-ſ]+"
+_CAMEL_CASE = "[a-z0-9](?=[A-Z])"
 
 # Every line boundary str.splitlines knows, so documents from any platform chunk alike.
 _LINE_END = r"\r\n|[\r\x0B\f\x1C-\x1E\x85  ]"
@@ -26,14 +26,14 @@ _LINE_END = r"\r\n|[\r\x0B\f\x1C-\x1E\x85  ]"
 
 def tokenize(text: Column) -> Column:
     """Lower-case words of a text, camelCase split, stop words and single characters dropped."""
-    spaced = F.regexp_replace(text, _CAMEL_CASE, " ")
+    spaced = F.regexp_replace(text, _CAMEL_CASE, "$0 ")
     words = F.regexp_extract_all(F.lower(spaced), F.lit("[a-z0-9]+"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 1))
 
 
 def search_runs(text: Column) -> Column:
     """Maximal runs of search characters in a text, lower-cased."""
-    return F.filter(F.split(F.lower(text), _SEARCH_GAP), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(_SEARCH_RUN), F.lit(0))
 
 
 def search_terms(query: Column) -> Column:

@@ -101,20 +101,22 @@ def build_index(fields: DataFrame) -> Index:
     their name. A null text says nothing.
     """
     words = search_runs(F.coalesce("text", F.lit("")))
-    said = cut(
-        fields.select(
-            *_COLUMN, "column_name", "table_text",
-            F.array_distinct(words).alias("words"),
-            F.array_distinct(search_runs(F.col("table_key"))).alias("key"),
-            F.array_distinct(search_runs(F.col("column_name"))).alias("name"),
-        )
+    # dealt by table once, before texts become words
+    said = fields.repartition("table_key").select(
+        *_COLUMN, "column_name", "table_text",
+        F.array_distinct(words).alias("words"),
+        F.array_distinct(search_runs(F.col("table_key"))).alias("key"),
+        F.array_distinct(search_runs(F.col("column_name"))).alias("name"),
     )
+    in_all = F.bool_and(F.size(F.array_except("key", "words")) == 0).over(Window.partitionBy("table_key"))
+    own = F.when(F.col("in_all"), F.array_except("words", F.array_except("key", "name"))).otherwise(F.col("words"))
+    said = cut(said.withColumn("in_all", in_all).select(*_COLUMN, "column_name", "table_text", "in_all", "name", own.alias("own")))
     columns = said.select(*_COLUMN, "column_name")
     tables = cut(
         said.groupBy("table_key").agg(
             F.count(F.lit(1)).alias("n_columns"),
             F.first("table_text", ignorenulls=True).alias("table_text"),
-            F.bool_and(F.size(F.array_except("key", "words")) == 0).alias("in_all"),
+            F.first("in_all").alias("in_all"),
         )
     )
     common = explode_once(
@@ -122,10 +124,9 @@ def build_index(fields: DataFrame) -> Index:
     )
     described = _postings(tables, ["table_key"], F.coalesce("table_text", F.lit(""))).withColumn("weight", F.lit(TABLE_WEIGHT))
     table_postings = cut(common.unionByName(described).select("word", "table_key", "weight"))
-    own = F.when(F.col("in_all"), F.array_except("words", F.array_except("key", "name"))).otherwise(F.col("words"))
     # a term in the name is also in the text, since the text includes the name
     postings = cut(
-        explode_once(said.join(tables.select("table_key", "in_all"), "table_key"), own, "word", *_COLUMN, "name")
+        explode_once(said.where(F.col("table_key").isNotNull()), F.col("own"), "word", *_COLUMN, "name")
         .select("word", *_COLUMN, F.when(F.array_contains("name", F.col("word")), NAME_WEIGHT).otherwise(TEXT_WEIGHT).alias("weight"))
     )
     pieces = cut(word_pieces(postings.select("word").unionByName(table_postings.select("word"))))
@@ -227,9 +228,12 @@ def _scored(asked: DataFrame, hits: _Hits, index: Index) -> DataFrame:
         .groupBy("query_id", "n_terms", *_COLUMN, "table_raw", "table_matched")
         .agg(F.sum(more).alias("more"), F.sum(F.when(F.col("said") == 0, F.col("times")).otherwise(0)).alias("new"))
         .select("query_id", "n_terms", *_COLUMN, (F.col("table_raw") + F.col("more")).alias("raw"), (F.col("table_matched") + F.col("new")).alias("matched"))
-        .select("query_id", *_COLUMN, _score().alias("score"))
+        .select("query_id", "n_terms", *_COLUMN, _score().alias("score"))
         .where(F.col("score") > MIN_COLUMN_SCORE)
     )
+    # a column is here twice at most, so that its query's best columns are among twice as many rows
+    order = Window.partitionBy("query_id", "n_terms").orderBy(F.round("score", 6).desc(), *_COLUMN)
+    columns = columns.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * TOP_COLUMNS).select("query_id", *_COLUMN, "score")
     found = head.select("query_id", *_COLUMN, "score").unionByName(columns)
     return found.groupBy("query_id", *_COLUMN).agg(F.max("score").alias("score"))
 
