@@ -368,9 +368,11 @@ def document_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct words, total words and the most used one per document."""
+    """Distinct words, total words and the most used one per document.
+
+    All words are counted, so documents are dealt once by id; their counts are summed in place."""
     return (
-        retrieval.chunk_terms(lake.document_chunks(spark, d))
+        retrieval.chunk_terms(lake.document_chunks(spark, d).repartition("chunk_id"))
         .groupBy("chunk_id", "length")
         .agg(
             F.count(F.lit(1)).alias("terms"),
