@@ -25,3 +25,14 @@ def cut(rows: DataFrame) -> DataFrame:
     """The rows, computed once and written to the shared folder. Files go when the result is no longer referenced."""
     shared_folder(rows.sparkSession)
     return rows.checkpoint()
+
+
+def cut_clean(rows: DataFrame) -> DataFrame:
+    """The rows, cut; the shuffle files that led to them go at once, not when the driver happens to collect its garbage."""
+    spark, key = rows.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return cut(rows.select("*"))  # a plan of its own, which is made under the setting
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -13,16 +13,22 @@ A search does not spread a table's hits over its columns, nor a frequent term's
 ask for it. Columns that a single term hits equally score the same, so of each list only the first `TOP_COLUMNS`
 can be among the best; and of the tables that nothing but themselves is hit in, only the `TOP_COLUMNS` best,
 and of each the first columns. Beyond these, only columns that two hits meet in are scored.
+
+Columns are written once, with the words that are their own; postings are read off them. What is scored by table is dealt
+by table before queries multiply it, and rows of queries that were counted to be few are broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.durable import cut
+from ..functions.durable import cut_clean as cut
 from ..functions.generate import explode_once
+from ..functions.lookup import looked_up
 from ..functions.text import is_filled, search_runs, search_terms
 from .usage import is_orphan
 
@@ -33,6 +39,8 @@ TOP_COLUMNS, TOP_DOCUMENTS = 6, 2
 PIECE = 3
 # folders of a stored index
 BUCKETS = 64
+# rows that are broadcast, if they were counted to be no more, and pieces that words are sifted by before they are shuffled
+FEW, FEW_PIECES = 100_000, 64
 
 _COLUMN = ["table_key", "ordinal"]
 
@@ -100,35 +108,54 @@ def build_index(fields: DataFrame) -> Index:
     Words of a table's key that all its columns' texts have are the table's, but for columns that have them in
     their name. A null text says nothing.
     """
-    words = search_runs(F.coalesce("text", F.lit("")))
-    # dealt by table once, before texts become words
-    said = fields.repartition("table_key").select(
-        *_COLUMN, "column_name", "table_text",
-        F.array_distinct(words).alias("words"),
-        F.array_distinct(search_runs(F.col("table_key"))).alias("key"),
-        F.array_distinct(search_runs(F.col("column_name"))).alias("name"),
+    named = F.coalesce("name", F.array().cast("array<string>"))
+    has_key = F.size(F.array_except("key", "words")) == 0
+    # the words of a key that a text has are left out until it is known whether all texts of the table have them
+    left = F.when(F.col("has_key") & F.col("name").isNotNull(), F.array_except("words", F.array_except("key", "name"))).otherwise(F.col("words"))
+    said = cut(
+        fields.select(
+            *_COLUMN, "column_name", "table_text",
+            F.array_distinct(search_runs(F.coalesce("text", F.lit("")))).alias("words"),
+            F.array_distinct(search_runs(F.col("table_key"))).alias("key"),
+            F.array_distinct(search_runs(F.col("column_name"))).alias("name"),
+        )
+        .withColumn("has_key", has_key)
+        .withColumn("own", left)
+        .withColumn("named", F.array_intersect("own", named))
+        # a word holds no blank; words of the name are not written if they are all of them, as in a text that includes it
+        .select(
+            *_COLUMN, "column_name", "table_text", "has_key",
+            F.when(F.size("named") < F.size(named), F.array_join("named", " ")).alias("named"),
+            F.array_join(F.array_except("own", "named"), " ").alias("other"),
+        )
     )
-    in_all = F.bool_and(F.size(F.array_except("key", "words")) == 0).over(Window.partitionBy("table_key"))
-    own = F.when(F.col("in_all"), F.array_except("words", F.array_except("key", "name"))).otherwise(F.col("words"))
-    said = cut(said.withColumn("in_all", in_all).select(*_COLUMN, "column_name", "table_text", "in_all", "name", own.alias("own")))
     columns = said.select(*_COLUMN, "column_name")
     tables = cut(
         said.groupBy("table_key").agg(
             F.count(F.lit(1)).alias("n_columns"),
             F.first("table_text", ignorenulls=True).alias("table_text"),
-            F.first("in_all").alias("in_all"),
+            F.bool_and("has_key").alias("in_all"),
         )
     )
     common = explode_once(
         tables.where("in_all"), F.array_distinct(search_runs(F.col("table_key"))), "word", "table_key", F.lit(TEXT_WEIGHT).alias("weight")
     )
     described = _postings(tables, ["table_key"], F.coalesce("table_text", F.lit(""))).withColumn("weight", F.lit(TABLE_WEIGHT))
-    table_postings = cut(common.unionByName(described).select("word", "table_key", "weight"))
+    table_postings = common.unionByName(described).select("word", "table_key", "weight")
     # a term in the name is also in the text, since the text includes the name
-    postings = cut(
-        explode_once(said.where(F.col("table_key").isNotNull()), F.col("own"), "word", *_COLUMN, "name")
-        .select("word", *_COLUMN, F.when(F.array_contains("name", F.col("word")), NAME_WEIGHT).otherwise(TEXT_WEIGHT).alias("weight"))
-    )
+    weighed = lambda words, weight: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
+    listed = lambda packed: F.filter(F.split(packed, " "), lambda w: w != "")
+    in_name = F.array_distinct(search_runs(F.coalesce("column_name", F.lit(""))))
+    hits = F.concat(weighed(F.coalesce(listed(F.col("named")), in_name), NAME_WEIGHT), weighed(listed(F.col("other")), TEXT_WEIGHT))
+    spread = lambda rows, items: explode_once(rows, items, "hit", *_COLUMN).select("hit.word", *_COLUMN, "hit.weight")
+    nameless = F.coalesce("has_key", F.lit(False)) & F.col("column_name").isNull()
+    postings = spread(said.where(F.col("table_key").isNotNull() & ~nameless), hits)
+    apart = tables.where(~F.col("in_all")).select("table_key")
+    if not apart.isEmpty():
+        # where a text of the table lacks words of its key, they are those columns' that have them
+        key = F.array_except(F.array_distinct(search_runs(F.col("table_key"))), in_name)
+        rest = F.when(nameless, hits).otherwise(weighed(key, TEXT_WEIGHT))
+        postings = postings.unionByName(spread(said.where("has_key").join(apart, "table_key"), rest))
     pieces = cut(word_pieces(postings.select("word").unionByName(table_postings.select("word"))))
     return Index(columns, tables.select("table_key", "n_columns"), postings, table_postings, pieces)
 
@@ -160,15 +187,30 @@ class _Hits:
     tables: DataFrame
 
 
+def _by_table(rows: DataFrame) -> DataFrame:
+    """Dealt by table, by a number that is always given, so that frames dealt alike stay so."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "table_key")
+
+
+def _small(rows: DataFrame, count: int) -> DataFrame:
+    """Broadcast if `count`, the most rows there can be, is few."""
+    return F.broadcast(rows) if count <= FEW else rows
+
+
 def _hits(terms: DataFrame, index: Index) -> _Hits:
     words = cut(matching_words(terms.select("term").distinct(), index.pieces))
     best = F.max("weight").alias("weight")
-    own = index.postings.join(words, "word").groupBy("term", *_COLUMN).agg(best)
+    postings = index.postings
+    wanted = terms.select(F.left("term", F.lit(PIECE)).alias("piece")).distinct().limit(FEW_PIECES + 1).collect()
+    if len(wanted) <= FEW_PIECES:
+        # words that hold the first piece of no term need not meet the terms
+        postings = postings.where(reduce(or_, [F.col("word").contains(r.piece) for r in wanted], F.lit(False)))
     tables = cut(index.table_postings.join(words, "word").groupBy("term", "table_key").agg(best))
+    own = _by_table(postings.join(words, "word").select("term", *_COLUMN, "weight")).groupBy("term", *_COLUMN).agg(best)
     # what the table says as loudly is no hit of the column's own
-    said = tables.select("term", "table_key", F.col("weight").alias("said"))
-    own = own.join(said, ["term", "table_key"], "left").withColumn("said", F.coalesce("said", F.lit(0.0)))
-    return _Hits(cut(own.where("weight > said")), tables)
+    said = _by_table(tables.select("term", "table_key", F.col("weight").alias("said")))
+    own = looked_up(own, said, ["term", "table_key"], said=F.max("said")).withColumn("said", F.coalesce("said", F.lit(0.0)))
+    return _Hits(cut(own.where("weight > said").select("term", *_COLUMN, "weight", "said")), tables)
 
 
 def term_weights(terms: DataFrame, hits: _Hits, index: Index) -> DataFrame:
@@ -176,7 +218,7 @@ def term_weights(terms: DataFrame, hits: _Hits, index: Index) -> DataFrame:
     total = index.tables.agg(F.coalesce(F.sum("n_columns"), F.lit(0)).alias("n")).scalar()
     whole = hits.tables.where(F.col("weight") >= TEXT_WEIGHT).select("term", "table_key")
     by_table = whole.join(index.tables, "table_key").select("term", F.col("n_columns").alias("n"))
-    by_column = hits.own.join(whole, ["term", "table_key"], "left_anti").select("term", F.lit(1).cast("long").alias("n"))
+    by_column = hits.own.where(F.col("said") < TEXT_WEIGHT).select("term", F.lit(1).cast("long").alias("n"))
     seen = by_table.unionByName(by_column).groupBy("term").agg(F.sum("n").alias("seen"))
     return (
         terms.select("term").distinct().join(seen, "term", "left").select(
@@ -202,35 +244,40 @@ def _meetings(asked: DataFrame, hits: _Hits) -> DataFrame:
     first = hits.own.withColumn("place", place).where(F.col("place") <= TOP_COLUMNS).select("term", *_COLUMN)
     alone = first.join(asked.select("query_id", "term"), "term").select(*pair)
     side = lambda n: hits.own.select(F.col("term").alias(n), *_COLUMN)
-    wanted = asked.select("query_id", F.col("term").alias("one")).join(asked.select("query_id", F.col("term").alias("two")), "query_id").where("one < two")
-    both = side("one").join(side("two"), _COLUMN).join(wanted, ["one", "two"]).select(*pair)
+    wanted = cut(asked.select("query_id", F.col("term").alias("one")).join(asked.select("query_id", F.col("term").alias("two")), "query_id").where("one < two"))
+    both = side("one").join(side("two"), _COLUMN).join(_small(wanted, wanted.count()), ["one", "two"]).select(*pair)
     return alone.unionByName(both).distinct()
 
 
-def _scored(asked: DataFrame, hits: _Hits, index: Index) -> DataFrame:
+def _scored(asked: DataFrame, hits: _Hits, index: Index, n_queries: int) -> DataFrame:
     """(query_id, table_key, ordinal, score) of all columns that can be among a query's best.
 
     A column has its table's sums, to which each term adds by what the column has more of it. Columns that are
     scored in two ways count by the better, which is the one that saw all hits."""
     raw, matched = F.col("weight") * F.col("idf") * F.col("times"), F.col("times")
-    tables = hits.tables.join(asked, "term").groupBy("query_id", "n_terms", "table_key").agg(F.sum(raw).alias("raw"), F.sum(matched).alias("matched"))
-    tables = cut(tables.withColumn("score", _score()))
+    tables = _by_table(hits.tables).join(asked, "term").groupBy("query_id", "n_terms", "table_key").agg(F.sum(raw).alias("raw"), F.sum(matched).alias("matched"))
+    tables = tables.withColumn("score", _score())
     # tables by themselves: the best, and of each the first columns
     best = _top(tables.where(F.col("score") > MIN_COLUMN_SCORE), TOP_COLUMNS, "table_key").select("query_id", "table_key", "score")
     place = F.row_number().over(Window.partitionBy("query_id", "table_key").orderBy("ordinal"))
-    head = best.join(index.columns.select(*_COLUMN), "table_key").withColumn("place", place).where(F.col("place") <= TOP_COLUMNS)
+    head = _small(best, TOP_COLUMNS * n_queries).join(index.columns.select(*_COLUMN), "table_key").withColumn("place", place).where(F.col("place") <= TOP_COLUMNS)
     # hits of a column, in tables that are hit as well and where hits meet
-    in_tables = tables.select("query_id", "table_key", F.col("raw").alias("table_raw"), F.col("matched").alias("table_matched")).join(hits.own, "table_key")
+    in_tables = tables.select("query_id", "table_key", F.col("raw").alias("table_raw"), F.col("matched").alias("table_matched")).join(_by_table(hits.own), "table_key")
     alone = _meetings(asked, hits).join(hits.own, _COLUMN).withColumns({"table_raw": F.lit(0.0), "table_matched": F.lit(0).cast("long")})
     more = (F.col("weight") - F.col("said")) * F.col("idf") * F.col("times")
-    columns = (
-        in_tables.unionByName(alone).join(asked, ["query_id", "term"])
-        .groupBy("query_id", "n_terms", *_COLUMN, "table_raw", "table_matched")
-        .agg(F.sum(more).alias("more"), F.sum(F.when(F.col("said") == 0, F.col("times")).otherwise(0)).alias("new"))
-        .select("query_id", "n_terms", *_COLUMN, (F.col("table_raw") + F.col("more")).alias("raw"), (F.col("table_matched") + F.col("new")).alias("matched"))
-        .select("query_id", "n_terms", *_COLUMN, _score().alias("score"))
-        .where(F.col("score") > MIN_COLUMN_SCORE)
-    )
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return (
+            rows.join(asked, ["query_id", "term"])
+            .groupBy("query_id", "n_terms", *_COLUMN, "table_raw", "table_matched")
+            .agg(F.sum(more).alias("more"), F.sum(F.when(F.col("said") == 0, F.col("times")).otherwise(0)).alias("new"))
+            .select("query_id", "n_terms", *_COLUMN, (F.col("table_raw") + F.col("more")).alias("raw"), (F.col("table_matched") + F.col("new")).alias("matched"))
+            .select("query_id", "n_terms", *_COLUMN, _score().alias("score"))
+            .where(F.col("score") > MIN_COLUMN_SCORE)
+        )
+
+    # apart, so that what is dealt by table is summed where it lies
+    columns = summed(in_tables).unionByName(summed(alone))
     # a column is here twice at most, so that its query's best columns are among twice as many rows
     order = Window.partitionBy("query_id", "n_terms").orderBy(F.round("score", 6).desc(), *_COLUMN)
     columns = columns.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * TOP_COLUMNS).select("query_id", *_COLUMN, "score")
@@ -244,8 +291,10 @@ def search_columns(queries: DataFrame, index: Index | DataFrame) -> DataFrame:
     terms = cut(query_terms(queries))
     hits = _hits(terms, index)
     asked = cut(terms.join(term_weights(terms, hits, index), "term"))
+    n_queries = terms.select("query_id").distinct().count()
+    found = _top(_scored(_small(asked, asked.count()), hits, index, n_queries), TOP_COLUMNS, *_COLUMN)
     return (
-        _top(_scored(asked, hits, index), TOP_COLUMNS, *_COLUMN)
+        _small(found, TOP_COLUMNS * n_queries)
         .join(index.columns, _COLUMN)
         .select("query_id", "rank", "table_key", "column_name", "score")
     )
